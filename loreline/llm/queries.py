@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loreline.llm import credentials
 from loreline.llm import near_duplicates as nd
 from loreline.sources.tables import table
 
@@ -20,5 +22,16 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return nd.groups(*nd.near_duplicates(table(spark, folder, "documents"), **P6))
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.scan(table(spark, folder, "documents")).select("doc_id", F.explode("secrets").alias("secret")).distinct()
+
+
+def p7_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts, those with credentials masked."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "path")
+    masked = credentials.scan(docs).select("doc_id", "masked")
+    return docs.join(masked, "doc_id", "left").select("doc_id", F.coalesce("masked", "text").alias("text"), F.col("masked").isNotNull().alias("was_masked"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_masked": p7_masked}
 ORACLE: dict[str, str] = {}
