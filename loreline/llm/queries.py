@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import credentials
+from loreline.llm import credentials, pieces
 from loreline.llm import near_duplicates as nd
 from loreline.sources.tables import table
 
@@ -33,5 +33,19 @@ def p7_masked(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(masked, "doc_id", "left").select("doc_id", F.coalesce("masked", "text").alias("text"), F.col("masked").isNotNull().alias("was_masked"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_masked": p7_masked}
-ORACLE: dict[str, str] = {}
+#: p4: most characters of a piece and most characters shared by consecutive pieces.
+P4 = {"limit": 8000, "overlap": 400}
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.cut_oversized(pieces.current_chunks(table(spark, folder, "chunks"), P4["limit"]), **P4)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_pieces(spark, folder).groupBy("chunk_id").agg(F.max(F.when(F.col("cut") == "forced", 1).otherwise(0)).alias("f")).select("chunk_id", F.when(F.col("f") == 1, "forced").otherwise("natural").alias("cut"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_masked": p7_masked}
+ORACLE: dict[str, str] = {
+    "p4_found": "WITH now AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1) SELECT chunk_id, CASE WHEN list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 8000 THEN 'forced' ELSE 'natural' END AS cut FROM now WHERE length(text) > 8000",
+}
