@@ -2,10 +2,10 @@
 
 Covering locality-sensitive hashing. A text is the set of its word shingles; its sketch is one minimum of the set under
 each of SYMBOLS hash functions, so that two sketches differ in about (1 - similarity) of the places. Masks then select
-places: all MASK-subsets of the places, a structure that guarantees that any two sketches which differ in no more than
-SYMBOLS - MASK places agree under some mask and so collide in its table. Masks are built up from pairs: a third place is
-added only to those places where a text shares a pair with another text, which leaves out nothing, for texts that agree
-in three places also agree in the two of them. Every collision is checked on the whole shingle sets.
+places: all subsets of three, a structure that guarantees that any two sketches which differ in no more than SYMBOLS - 3
+places agree under some mask and so collide in its table. A mask is tried for a text only where it shares each single
+place of the mask with some other text, and then each two of them; this leaves out nothing, for texts that agree in three
+places agree in any one and any two of them. Every collision is checked on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -45,10 +45,10 @@ def _whole_sets(id_col: str, text_col: str, id_type: T.DataType, width: int, lea
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch[id_col].tolist()
-            out = [(ids[i], s.view(np.int64)) for i, s in shingle_sets(batch[text_col].tolist(), width, least_words)]
+            out = [(ids[i], np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32)) for i, s in shingle_sets(batch[text_col].tolist(), width, least_words)]
             yield pd.DataFrame(out, columns=[id_col, "shingles"])
 
-    return run, T.StructType([T.StructField(id_col, id_type), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return run, T.StructType([T.StructField(id_col, id_type), T.StructField("shingles", T.ArrayType(T.IntegerType()))])
 
 
 def _collide(keyed: DataFrame, id_col: str) -> DataFrame:
@@ -57,6 +57,12 @@ def _collide(keyed: DataFrame, id_col: str) -> DataFrame:
     return left.join(right, "key").filter("a < b").select("a", "b")
 
 
+def _shared_masks(keyed: DataFrame, id_col: str) -> DataFrame:
+    """(id, masks): of each record, the masks k.mask under which its key k.key is shared with another one."""
+    flat = keyed.select(id_col, "k.mask", "k.key")
+    return flat.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").groupBy(id_col).agg(F.collect_set("mask").alias("masks"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, least_words: int = 0, symbols: int = SYMBOLS) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts and pairs of similar classes: (id, class_id) and (class_a, class_b, similarity).
 
@@ -73,18 +79,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = cut(sketched.groupBy("set_id").agg(F.min(id_col).alias("class_id"), F.first("sketch").alias("sketch")))
     members = sketched.select(id_col, "set_id").join(reps.select("set_id", "class_id"), "set_id").select(id_col, "class_id").distinct()
 
-    places = [(i, j) for i in range(symbols) for j in range(i + 1, symbols)]
     at = lambda i: F.get("sketch", F.lit(i))
-    pair_keys = F.array(*[F.struct(F.lit(n).cast("short").alias("mask"), F.xxhash64(F.lit(n), at(i), at(j)).alias("key")) for n, (i, j) in enumerate(places)])
-    keyed = reps.select(F.col("class_id").alias(id_col), F.explode(pair_keys).alias("k")).select(id_col, "k.mask", "k.key")
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    per_doc = shared.groupBy(id_col).agg(F.collect_set("mask").alias("masks"))
-
-    starts = F.array(*[F.lit(i).cast("short") for i, _ in places])
-    ends = F.array(*[F.lit(j).cast("short") for _, j in places])
-    grown = per_doc.join(reps.select(F.col("class_id").alias(id_col), "sketch"), id_col).select(id_col, "sketch", F.explode("masks").alias("mask")).select(id_col, "sketch", F.get(starts, "mask").cast("int").alias("i"), F.get(ends, "mask").cast("int").alias("j"))
-    third = F.explode(F.sequence(F.col("j") + 1, F.lit(symbols - 1)))
-    triples = grown.filter(F.col("j") < symbols - 1).select(id_col, "sketch", "i", "j", third.alias("k")).select(id_col, F.xxhash64("i", "j", "k", F.get("sketch", "i"), F.get("sketch", "j"), F.get("sketch", "k")).alias("key"))
+    numbered = reps.select(F.col("class_id").alias(id_col), "sketch")
+    one_keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("mask"), F.xxhash64(F.lit(i), at(i)).alias("key")) for i in range(symbols)])
+    ones = _shared_masks(numbered.select(id_col, F.explode(one_keys).alias("k")), id_col)
+
+    have = lambda *m: F.expr(" and ".join(f"array_contains(masks, {x}{kind})" for x in m))
+    kind = "Y"
+    places = [(i, j) for i in range(symbols) for j in range(i + 1, symbols)]
+    number = {p: n for n, p in enumerate(places)}
+    two_keys = F.array_compact(F.array(*[F.when(have(i, j), F.struct(F.lit(n).cast("short").alias("mask"), F.xxhash64(F.lit(n), at(i), at(j)).alias("key"))) for n, (i, j) in enumerate(places)]))
+    twos = _shared_masks(numbered.join(ones, id_col).select(id_col, F.explode(two_keys).alias("k")), id_col)
+
+    kind = "S"
+    triples = [(i, j, k) for i, j in places for k in range(j + 1, symbols)]
+    three_keys = F.array_compact(F.array(*[F.when(have(number[i, j], number[i, k], number[j, k]), F.xxhash64(F.lit(n), at(i), at(j), at(k))) for n, (i, j, k) in enumerate(triples)]))
+    triples = numbered.join(twos, id_col).select(id_col, F.explode(three_keys).alias("key"))
     near = cut(_collide(triples, id_col).distinct())
 
     wanted = near.select(F.col("a").alias(id_col)).union(near.select(F.col("b").alias(id_col))).distinct()
