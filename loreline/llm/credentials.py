@@ -223,7 +223,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
                 spans = finder.spans(text, bool(path) and path.strip().lower().endswith(CODE_ENDINGS))
                 if spans:
                     out.append((i, list(dict.fromkeys(text[s:e] for s, e in spans)), mask(text, spans)))
-            yield pd.DataFrame(out, columns=[id_col, "secrets", "masked"])
+            yield pd.DataFrame(out, columns=[id_col, "secrets", "masked"], dtype=object)
 
     path = F.col(path_col) if path_col in docs.columns else F.lit(None).cast("string")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("secrets", T.ArrayType(T.StringType())), T.StructField("masked", T.StringType())])

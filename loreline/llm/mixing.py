@@ -12,6 +12,22 @@ from loreline.session import cut
 STEPS = 4096
 
 
+def fill(sources: dict[str, tuple[float, float]], goal: float) -> dict[str, float]:
+    """How much each of the sources (share, most it can give) gives towards goal.
+
+    Shares hold among those that can give theirs; what the others fall short of is shared by these, as far as they can.
+    """
+    gives: dict[str, float] = {}
+    while True:
+        rest = goal - sum(gives.values())
+        free = {s: x for s, x in sources.items() if s not in gives}
+        shares = sum(share for share, _ in free.values())
+        short = {s: most for s, (share, most) in free.items() if shares > 0 and share / shares * rest >= most}
+        if not short or shares <= 0:
+            return gives | {s: share / shares * rest if shares > 0 else 0.0 for s, (share, _) in free.items()}
+        gives |= short
+
+
 def mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 0.5, seed: int = 9, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, source, tokens, copies): the records of a mixture of total_share of all tokens of docs.
 
@@ -25,14 +41,15 @@ def mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col
 
     Sources are compared without case, surrounding blanks and the kind of separator; sources without target, null texts,
     null ids and texts without tokens are in no mixture but count in the total. A repeated target keeps its greatest row.
-    Repeated ids are records of their own. Where a source has too little, even with all repeats, it gives what it has.
+    Repeated ids are records of their own. Where a source has too little, even with all repeats, it gives all it has, and
+    the others make up for it in proportion to their shares.
     """
     spark = docs.sparkSession
     rows = sized(docs.withColumn("_source", same_spelling(F.col(source_col))).withColumn("_text_id", F.xxhash64(text_col)), id_col, text_col, ["_source", "_text_id"], tokenizer)
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     wanted = {}
     for t in targets.select(same_spelling(F.col("source")).alias("source"), "target_share", "max_repeats").dropna().orderBy("source", "target_share", "max_repeats").collect():
-        wanted[t["source"]] = (t["target_share"] * total_share * total, max(0, t["max_repeats"]))
+        wanted[t["source"]] = (max(0.0, t["target_share"]), max(0, t["max_repeats"]))
     out = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, source string, tokens bigint, copies int"
     if not wanted or not total:
         return spark.createDataFrame([], out)
@@ -43,9 +60,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col
     sums: dict[str, dict[int, int]] = {}
     for r in weighed.groupBy("source", "power").agg(F.sum("tokens").alias("t")).collect():
         sums.setdefault(r["source"], {})[r["power"]] = r["t"]
+    needs = fill({s: (wanted[s][0], sum(t.values()) * wanted[s][1]) for s, t in sums.items()}, total_share * total)
     plan = []
     for source, by_power in sorted(sums.items()):
-        need, most = wanted[source]
+        need, most = needs[source], wanted[source][1]
         have = sum(by_power.values())
         whole = min(most, int(need // have))
         rest = min(need - whole * have, have) if whole < most else 0.0

@@ -35,7 +35,7 @@ def _sketches(id_col: str, text_col: str, id_type: T.DataType, width: int, least
             for i, s in shingle_sets(batch[text_col].tolist(), width, least_words):
                 least = [int(mix(s ^ seed).min().view(np.int64)) for seed in seeds]
                 out.append((ids[i], len(s), int(np.add.reduce(mix(s + np.uint64(1))).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(2))).view(np.int64)), least))
-            yield pd.DataFrame(out, columns=[id_col, "size", "sum_hash", "xor_hash", "sketch"])
+            yield pd.DataFrame(out, columns=[id_col, "size", "sum_hash", "xor_hash", "sketch"], dtype=object)
 
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("size", T.IntegerType()), T.StructField("sum_hash", T.LongType()), T.StructField("xor_hash", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
     return run, schema
@@ -46,7 +46,7 @@ def _whole_sets(id_col: str, text_col: str, id_type: T.DataType, width: int, lea
         for batch in batches:
             ids = batch[id_col].tolist()
             out = [(ids[i], np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32)) for i, s in shingle_sets(batch[text_col].tolist(), width, least_words)]
-            yield pd.DataFrame(out, columns=[id_col, "shingles"])
+            yield pd.DataFrame(out, columns=[id_col, "shingles"], dtype=object)
 
     return run, T.StructType([T.StructField(id_col, id_type), T.StructField("shingles", T.ArrayType(T.IntegerType()))])
 

@@ -78,8 +78,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
                 for part, start in enumerate(range(0, n, capacity)):
                     size = min(capacity, n - start)
                     out += [(k, fill, True, items) for k, fill, items in w.place(size, (i, part, start, size))]
-            yield pd.DataFrame(out, columns=["number", "fill", "closed", "items"])
-        yield pd.DataFrame([(k, fill, False, items) for k, fill, items in w.rest()], columns=["number", "fill", "closed", "items"])
+            yield pd.DataFrame(out, columns=["number", "fill", "closed", "items"], dtype=object)
+        yield pd.DataFrame([(k, fill, False, items) for k, fill, items in w.rest()], columns=["number", "fill", "closed", "items"], dtype=object)
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = Windows(capacity, 1 << 62)
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
             yield _joined(k, f, boxes)
 
     def _joined(k: int, fill: int, boxes: list) -> pd.DataFrame:
-        return pd.DataFrame([(k, fill, True, [tuple(x[c] for c in ("id", "part", "start", "tokens")) if isinstance(x, dict) else tuple(x) for b in boxes for x in b])], columns=["number", "fill", "closed", "items"])
+        return pd.DataFrame([(k, fill, True, [tuple(x[c] for c in ("id", "part", "start", "tokens")) if isinstance(x, dict) else tuple(x) for b in boxes for x in b])], columns=["number", "fill", "closed", "items"], dtype=object)
 
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), count_tokens(F.col(text_col), tokenizer).alias("tokens"))
     boxes = cut(rows.mapInPandas(first, box).withColumn("task", F.spark_partition_id()))

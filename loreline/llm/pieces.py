@@ -153,7 +153,7 @@ def cut_oversized(rows: DataFrame, *, id_col: str = "chunk_id", text_col: str =
             for i, text, path in zip(batch["id"].tolist(), batch["text"].tolist(), batch["path"].tolist(), strict=True):
                 prose = bool(path) and path.strip().lower().endswith(PROSE_ENDINGS)
                 out += [(i, k, s, e, cut, text[s:e]) for k, (s, e, cut) in enumerate(split(text, limit, overlap, prose))]
-            yield pd.DataFrame(out, columns=[id_col, "piece", "start", "end", "cut", "text"])
+            yield pd.DataFrame(out, columns=[id_col, "piece", "start", "end", "cut", "text"], dtype=object)
 
     schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("cut", T.StringType()), T.StructField("text", T.StringType())])
     large = rows.filter(F.col(id_col).isNotNull() & (F.length(text_col) > limit)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(path_col).alias("path"))
