@@ -40,7 +40,7 @@ _THIRD_FOLDER = re.compile(r"(?i)(?:^|/)(?:vendor|third_party|third-party|extern
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _TOKEN = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*|\d[\w.]*|[^\w\s]")
 _LITERAL = re.compile(r"\"\"\".*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\b0x[0-9a-fA-F]+\b|\b\d[\d._eE]*\b|[\s,;:\[\]{}()-]+", re.S)
-_PART = re.compile(r"[\n;{}]")  # lines, however they are wrapped
+_PART, _STATEMENT = re.compile(r"[\n;{}]"), re.compile(r"[;{}]")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{64,}")
 
 FEATURES = ["compression", "entropy", "distinct_tokens", "ident_length", "short_idents", "ident_share", "comments", "line_length", "longest_line", "log_size", "digits", "blanks", "punctuation", "runs", "literals", "alike", "most_alike", "templates", "config"]
@@ -77,7 +77,8 @@ def features(text: str, config: bool) -> list[float]:
     names = sum(c for _, c in idents) or 1
     full = [x for x in body if x.strip()]
     some = max(1, len(full))
-    parts = [x.strip() for x in _PART.split(kept) if x.strip()]
+    wrapped = n / some > 120  # then line ends say nothing, statements do
+    parts = [x.strip() for x in (_STATEMENT.split(kept.replace("\n", "")) if wrapped else _PART.split(kept)) if x.strip()]
     templates = Counter(re.sub(r"\d[\w.]*", "0", _IDENT.sub("a", x[:400]))[:160] for x in parts)
     many = max(1, len(parts))
     twice = sum(c for c in templates.values() if c > 1)
