@@ -36,7 +36,7 @@ ISSUERS = [
 KEYWORDS = ["password", "passwd", "passphrase", "pwd", "pass", "pw", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "access-key", "private_key", "privatekey", "private key", "signing_key", "signingkey", "signing-key", "deploy_key", "deploykey", "auth_key", "authkey", "encryption_key", "encryptionkey", "credential", "bearer ", "basic ", "x-auth", "x-api", "://", "connect(", "login(", "-u ", "--user", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "glx-", "k_live_", "k_test_", "xox", "akia", "asia", "qg1.", "eyj"]
 
 #: What ends the name of something that holds a credential.
-_NAME = r"(?:passw(?:or)?d|passphrase|(?:(?<![a-z])|(?<=[a-z](?=P)))(?-i:pass|Pass|PASS|pw|Pw|PW|pwd|Pwd|PWD)|pwd|secret|token|api[_-]?key|(?:secret[_-]?)?access[_-]?key(?:[_-]?id)?|(?:secret|signing|private|deploy|auth|encryption|client)[_-]?key|credentials?)"
+_NAME = r"(?:passw(?:or)?d|passphrase|(?-i:(?<![A-Za-z])(?:pass|Pass|PASS|pwd?|Pwd?|PWD?)|(?<=[a-z])(?:Pass|Pwd?))|secret|token|api[_-]?key|(?:secret[_-]?)?access[_-]?key(?:[_-]?id)?|(?:secret|signing|private|deploy|auth|encryption|client)[_-]?key|credentials?)"
 _ISSUED = re.compile(r"(?<![A-Za-z0-9_/+.-])(?:" + "|".join(ISSUERS) + r")(?![A-Za-z0-9_/+-])")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(.*?)-----END \1-----", re.S)
 _ASSIGNED = re.compile(

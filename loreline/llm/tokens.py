@@ -127,7 +127,7 @@ def estimate_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for i, n in enumerate(names, 1):
         total = total + F.get(w, F.lit(i)) * F.col(n)
     counted = rows.select(id_col, "language", *(keep or []), *[f(F.col("_text")).cast("double").alias(n) for n, f in FEATURES.items()])
-    return counted.join(F.broadcast(models), "language", "left").select(id_col, "language", *(keep or []), F.when(F.col("bytes") == 0, 0.0).otherwise(F.greatest(total, F.lit(1.0))).alias("est_tokens"))
+    return counted.join(F.broadcast(models), "language", "left").select(id_col, "language", *(keep or []), F.when(F.col("bytes") == 0, 0.0).when(F.col("bytes") > 0, F.greatest(total, F.lit(1.0))).alias("est_tokens"))
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, keep: list[str], tokenizer: str) -> DataFrame:
