@@ -73,6 +73,7 @@ FEATURES = {
     "words": lambda t: F.regexp_count(t, F.lit(r"[A-Za-z]+")),
     "digits": lambda t: F.length(t) - F.length(F.translate(t, "0123456789", "")),
     "punctuation": lambda t: F.length(t) - F.length(F.translate(t, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "")),
+    "capitals": lambda t: F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
     "blank_runs": lambda t: F.regexp_count(t, F.lit(r"\s{2,}")),
     "humps": lambda t: F.regexp_count(t, F.lit(r"[a-z][A-Z]")),
     "letters_beyond_ascii": lambda t: F.octet_length(t) - F.length(t),
@@ -81,9 +82,12 @@ FEATURES = {
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    scale = np.maximum(np.abs(x).max(axis=0), 1.0)
-    a = x / scale
-    return np.linalg.solve(a.T @ a + ridge * np.eye(x.shape[1]), a.T @ y) / scale
+    """Least squares on errors relative to the size of the text, so that no few long texts decide; x starts with a constant and bytes."""
+    weight = 1.0 / (x[:, 1] + 50.0)
+    a, b = x * weight[:, None], y * weight
+    scale = np.maximum(np.abs(a).max(axis=0), 1e-9)
+    a = a / scale
+    return np.linalg.solve(a.T @ a + ridge * np.eye(x.shape[1]), a.T @ b) / scale
 
 
 def estimate_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, tokenizer: str = TOKENIZER, sample_rows: int = 600, least_rows: int = 60, languages: int = 200) -> DataFrame:
@@ -91,7 +95,7 @@ def estimate_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     About 2 * sample_rows texts of each of the most frequent `languages` languages, drawn by a hash of their ids, are
     tokenized: one half fits the coefficients, the other half, held out, corrects the bias, the factor being true
-    tokens over predicted ones. Languages with fewer than least_rows texts in either half, and all beyond the most frequent
+    tokens over predicted ones; then the halves change places, and the two models are averaged. Languages with fewer than least_rows texts in either half, and all beyond the most frequent
     ones, share the model of all samples. Counting, predicting and correcting cover all rows.
 
     Null texts have null tokens, empty ones 0; estimates are not below 0, nor below 1 for a text that is not empty. A null or empty
@@ -110,14 +114,15 @@ def estimate_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sample = drawn.select("language", half, *[f(F.col("_text")).cast("double").alias(n) for n, f in FEATURES.items()], count_tokens(F.col("_text"), tokenizer).alias("tokens")).toPandas()
     sample = sample.sort_values(["language", "half", *names, "tokens"])
 
-    def model(part: pd.DataFrame) -> list[float]:
-        fit, held = part[part["half"] == 0], part[part["half"] == 1]
-        fit = fit if len(fit) else held
-        held = held if len(held) else fit
-        x = np.column_stack([np.ones(len(fit)), fit[names].to_numpy()])
-        w = _fit(x, fit["tokens"].to_numpy(float))
+    def half_model(fit: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+        w = _fit(np.column_stack([np.ones(len(fit)), fit[names].to_numpy()]), fit["tokens"].to_numpy(float))
         predicted = np.maximum(np.column_stack([np.ones(len(held)), held[names].to_numpy()]) @ w, 0).sum()
-        return [float(c) for c in w * (held["tokens"].sum() / predicted if predicted > 0 else 1.0)]
+        return w * (held["tokens"].sum() / predicted if predicted > 0 else 1.0)
+
+    def model(part: pd.DataFrame) -> list[float]:
+        a, b = part[part["half"] == 0], part[part["half"] == 1]
+        a, b = (a, b) if len(a) and len(b) else (part, part)
+        return [float(c) for c in (half_model(a, b) + half_model(b, a)) / 2]
 
     every = model(sample)
     own = [(k, model(part)) for k, part in sample.groupby("language") if min((part["half"] == 0).sum(), (part["half"] == 1).sum()) >= least_rows]
