@@ -106,3 +106,23 @@ def line_metrics(ranking: DataFrame, samples: DataFrame, budget: int = CONTEXT)
     per = g.groupBy("sample_id").agg(lines("start_line", "end_line").alias("gold_lines")).join(p.groupBy("sample_id").agg(lines("start_line", "end_line").alias("predicted_lines")), "sample_id", "left").join(over, "sample_id", "left").na.fill(0, ["predicted_lines", "overlap"])
     r, q = ratio(F.col("overlap"), F.col("gold_lines")), ratio(F.col("overlap"), F.col("predicted_lines"))
     return per.select("sample_id", "gold_lines", "predicted_lines", "overlap", r.alias("recall"), q.alias("precision"), f_score(q, r, 1.0).alias("f1"), f_score(q, r, 0.5).alias("f05"))
+
+
+def block_metrics(ranking: DataFrame, samples: DataFrame, blocks: DataFrame, budget: int = CONTEXT) -> DataFrame:
+    """(sample_id, gold_blocks, predicted_blocks, matched, recall, precision): gold blocks against the symbol chunks that fit the budget.
+
+    blocks has (sample_id, path, start_line, end_line, chunk_id). A block is met by the same chunk or by lines of the same file that overlap.
+    """
+    gold = blocks.filter((F.col("path") != "") & (F.col("start_line") > 0) & (F.col("end_line") >= F.col("start_line"))).distinct()
+    chosen = within_budget(ranking, budget).filter("kind <> 'file'").join(gold.select("sample_id").distinct(), "sample_id", "left_semi").select("sample_id", "path", F.col("start_line").alias("ps"), F.col("end_line").alias("pe"), F.col("chunk_id").alias("pc"))
+    met = gold.join(chosen, ["sample_id", "path"]).filter((F.col("chunk_id") == F.col("pc")) | ((F.col("start_line") <= F.col("pe")) & (F.col("ps") <= F.col("end_line"))))
+    g = met.groupBy("sample_id").agg(F.count_distinct("path", "start_line", "end_line").alias("matched"), F.count_distinct("pc").alias("useful"))
+    per = gold.groupBy("sample_id").agg(F.count_distinct("path", "start_line", "end_line").alias("gold_blocks")).join(chosen.groupBy("sample_id").agg(F.count_distinct("pc").alias("predicted_blocks")), "sample_id", "left").join(g, "sample_id", "left").na.fill(0)
+    return per.select("sample_id", "gold_blocks", "predicted_blocks", "matched", ratio(F.col("matched"), F.col("gold_blocks")).alias("recall"), ratio(F.col("useful"), F.col("predicted_blocks")).alias("precision"))
+
+
+def seed_context(ranking: DataFrame, budget: int, per_file: int) -> DataFrame:
+    """(sample_id, path, taken): tokens of ranked files that a seed takes, each at most per_file, all at most budget; files without tokens are passed over."""
+    capped = ranking.filter("tokens > 0").withColumn("capped", F.least("tokens", F.lit(per_file)))
+    before = F.coalesce(F.sum("capped").over(Window.partitionBy("sample_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return capped.withColumn("taken", F.least("capped", F.greatest(F.lit(0), budget - before))).filter("taken > 0").select("sample_id", "path", "taken")
