@@ -6,8 +6,13 @@ summed on the map side; no query is ever compared with a chunk of another snapsh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loreline.functions.paths import basename
 from loreline.functions.text import tokenize
@@ -99,18 +104,60 @@ def fuse(rankings: dict[str, DataFrame], weights: dict[str, float] | None = None
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)
 
 
-def by_vectors(queries: DataFrame, items: DataFrame, dimensions: int, depth: int = 20) -> DataFrame:
-    """(query_id, item_id, score, rank): exact cosine ranking of all items for every query (query_id, vector) among (item_id, vector).
+#: Query vectors that are compared with all items in one pass over these.
+QUERY_BLOCK = 4096
+
 
-    The queries are a stated, bounded set and are broadcast as one array a task; items are read once, each keeps
-    its scores, and only the best of every partition move on to the final ranking.
+def by_vectors(queries: DataFrame, items: DataFrame, depth: int = 20, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, item_id, score, rank): the depth items nearest by cosine to each query, exactly. queries has (query_id, vector), items (item_id, vector).
+
+    Queries go in blocks of about `block`, each a matrix that every task holds; items are read once a block in Arrow batches, and a
+    task keeps only the best of each query, so that depth rows a query and task meet in the final ranking. Vectors
+    without length score 0, null vectors and other lengths than the block's first take no part. Ties go to the lesser item_id.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda v: F.sqrt(dot(v, v))
-    q = queries.select("query_id", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
-    i = items.select("item_id", F.col("vector").alias("iv"), norm(F.col("vector")).alias("n"))
-    pairs = i.join(F.broadcast(q), F.size("qv") == F.size("iv"))
-    scale = F.col("qn") * F.col("n")
-    scored = pairs.select("query_id", "item_id", F.when(scale > 0, dot(F.col("qv"), F.col("iv")) / scale).otherwise(0.0).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)
+    ids = queries.schema["query_id"].dataType, items.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("query_id", ids[0]), T.StructField("item_id", ids[1]), T.StructField("score", T.DoubleType())])
+    known = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
+    blocks = max(1, -(-known.count() // block))
+    parts = None
+    for b in range(blocks):
+        rows = known.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        width = len(rows[0]["vector"])
+        rows = [r for r in rows if len(r["vector"]) == width]
+        names = [r["query_id"] for r in rows]
+        matrix = items.sparkSession.sparkContext.broadcast(_unit(np.array([r["vector"] for r in rows], float)))
+
+        def best(batches: Iterator[pd.DataFrame], names: list = names, matrix=matrix, width: int = width) -> Iterator[pd.DataFrame]:
+            q = np.empty(0, int)
+            item: np.ndarray = np.empty(0, object)
+            score = np.empty(0)
+            least = np.full(len(names), -np.inf)
+            for batch in batches:
+                fine = batch[batch["vector"].map(len) == width]
+                if not len(fine):
+                    continue
+                s = np.round(_unit(np.stack(fine["vector"].to_numpy()).astype(float)) @ matrix.value.T, 9)
+                at, to = np.nonzero(s >= least)
+                q, item, score = np.concatenate([q, to]), np.concatenate([item, fine["item_id"].to_numpy(object)[at]]), np.concatenate([score, s[at, to]])
+                order = np.lexsort((item, -score, q))
+                q, item, score = q[order], item[order], score[order]
+                first = np.searchsorted(q, q)
+                keep = np.arange(len(q)) - first < depth
+                q, item, score = q[keep], item[keep], score[keep]
+                full = np.bincount(q, minlength=len(names)) == depth
+                least[full] = np.minimum.reduceat(score, np.searchsorted(q, np.flatnonzero(full))) if full.any() else least[full]
+            yield pd.DataFrame({"query_id": pd.Series([names[i] for i in q], dtype=object), "item_id": pd.Series(item, dtype=object), "score": score})
+
+        part = items.filter(F.col("vector").isNotNull()).select("item_id", "vector").mapInPandas(best, schema)
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        parts = items.sparkSession.createDataFrame([], schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)

@@ -113,7 +113,7 @@ def rank_depths(spark: SparkSession, folder: str) -> DataFrame:
 def rank_embedding(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest of all vectors for every vector whose id is divisible by 50."""
     e = table(spark, folder, "embeddings")
-    best = rank.by_vectors(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 64)
+    best = rank.by_vectors(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")))
     return best.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 

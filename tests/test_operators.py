@@ -173,3 +173,23 @@ def test_trajectories(spark):
     assert m["m"].final_f1 == 0.0
     h = {r.sample_id: r.first_hit for r in trajectories.first_hits(steps, gold).collect()}
     assert h == {"s": 2, "m": None}
+
+
+def test_vectors_against_sorting(spark):
+    rng = random.Random(6)
+    items = [(i, [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(150)] + [(150, None), (151, [1.0]), (152, [0.0] * 4)]
+    df = spark.createDataFrame(items, "item_id bigint, vector array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, v) for i, v in items if i % 10 == 0], "query_id bigint, vector array<float>")
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 9) if n else 0.0
+
+    for block in (4, 4096):
+        got = {}
+        for r in rank.by_vectors(queries, df, depth=7, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.item_id)
+        fine = [(i, v) for i, v in items if v and len(v) == 4]
+        for q, v in items:
+            if q % 10 == 0 and v and len(v) == 4:
+                assert got[q] == [i for _, i in sorted((-cosine(v, w), i) for i, w in fine)[:7]]
