@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from loreline.functions.paths import basename
 from loreline.functions.text import tokenize
+from loreline.session import cut
 
 SNAPSHOT = ["repo", "base_commit"]
 # Fixed values of the rankers.
@@ -51,7 +52,7 @@ def _term_rows(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFr
     sizes = tokens.select(*SNAPSHOT, "chunk_id", F.size("tokens").alias("length"), F.size(F.array_distinct("tokens")).alias("distinct"))
     asked = queries.select(*SNAPSHOT, "token").distinct()
     terms = tokens.select(*SNAPSHOT, "chunk_id", F.explode("tokens").alias("token")).join(asked, [*SNAPSHOT, "token"], "left_semi").groupBy(*SNAPSHOT, "chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    return sizes, terms
+    return sizes, cut(terms)
 
 
 def lexical(samples: DataFrame, chunks: DataFrame) -> DataFrame:

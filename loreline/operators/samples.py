@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loreline.functions.text import distinct_paths
 from loreline.operators.snapshots import latest
+from loreline.session import cut
 
 
 def gold_files() -> Column:
@@ -52,6 +53,6 @@ def current_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def snapshot_chunks(chunks: DataFrame, samples: DataFrame) -> DataFrame:
-    """Current chunks of those snapshots that a sample refers to."""
+    """Current chunks of those snapshots that a sample refers to, kept in the shared folder: rankers read them several times."""
     wanted = samples.select("repo", "base_commit").dropna().distinct()
-    return current_chunks(chunks.join(wanted, ["repo", "base_commit"], "left_semi"))
+    return cut(current_chunks(chunks.join(wanted, ["repo", "base_commit"], "left_semi")))
