@@ -181,7 +181,7 @@ def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
-    t = event_log.run(event_log.tumbling(event_log.read_events(spark, f"{folder}/events.parquet*")))
+    t = event_log.run(event_log.tumbling(event_log.read_events(spark, f"{folder}/events.parquet*")), "complete")
     return t.select("window_start", "event_type", "events", F.round("value", 2).alias("value"), "most")
 
 
@@ -223,6 +223,7 @@ ORACLE = {
     "leaderboard": _ALL_M + ", a AS (SELECT task_type, method, avg(mrr) AS mrr, avg(recall_20) AS recall_20 FROM methods GROUP BY 1, 2) SELECT task_type, method, row_number() OVER (PARTITION BY task_type ORDER BY round(mrr, 9) DESC, round(recall_20, 9) DESC, method) AS place, round(mrr, 6) AS mrr, round(recall_20, 6) AS recall_20 FROM a",
     "metric_spread": _ALL_M + ", a AS (SELECT task_type, method, avg(mrr) AS mrr, avg(recall_20) AS recall_20, avg(ndcg_20) AS ndcg_20 FROM methods GROUP BY 1, 2), u AS (SELECT task_type, 'mrr' AS metric, mrr AS v FROM a UNION ALL SELECT task_type, 'recall_20', recall_20 FROM a UNION ALL SELECT task_type, 'ndcg_20', ndcg_20 FROM a) SELECT task_type, metric, round(max(v), 6) AS best, round(median(v), 6) AS median, round(min(v), 6) AS worst, round(max(v) - median(v), 6) AS lead FROM u GROUP BY 1, 2",
     "stream_dedupe": "SELECT DISTINCT event_id, event_type FROM events",
+    "stream_tumbling": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 2) AS value, max(value) AS most FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }
 _ALL = [chunk_lines, symbol_chunks, manifest_counts, manifest_merge, corpus_bounds, upsert_prefer_ok, span_to_blocks, file_sizes, import_edges, source_test_edges, pagerank_3, pagerank_24, response_window, rerun_pairs, drop_reasons, format_only, keep_list_join, round_robin, balanced_sample, modulo_shards, weighted_shards, audit_conflicts, readiness_gaps, pearson_spearman, tertile_buckets, cross_model_coverage, leaderboard, metric_spread, stream_dedupe, stream_tumbling]
 QUERIES = {f.__name__: f for f in _ALL}

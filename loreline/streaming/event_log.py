@@ -27,9 +27,18 @@ def tumbling(events: DataFrame, width: str = "1 day", delay: str = "1 hour") ->
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now: written to the shared folder, then read."""
+    """What a stream gives for all that is there now: written to the shared folder, then read.
+
+    In append mode windows that the watermark has not passed stay open and are not given; in complete mode every window is,
+    each batch's result taking the place of the one before.
+    """
     spark = stream.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    if mode == "complete":  # files can only be appended to
+        spark.createDataFrame([], stream.schema).write.parquet(f"{at}/out")
+        writer = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/out"))
+    else:
+        writer = stream.writeStream.format("parquet").option("path", f"{at}/out")
+    q = writer.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
