@@ -79,18 +79,16 @@ def _deepest(text: str, places: list[int]) -> int:
 def split(text: str, limit: int, overlap: int, prose: bool) -> list[tuple[int, int, str]]:
     """(start, end, cut) of each piece: at most limit characters, cut 'natural', 'forced' or 'end' after what ends it.
 
-    A piece begins up to overlap characters before the end of the one before, at a line or sentence. Line ends are always
-    tried before a line is cut, so a cut is forced only inside a line that alone is longer than limit; there it falls
-    between words if it can, and never between the halves of a CRLF.
+    A piece begins up to overlap characters before the end of the one before, at a line or sentence; where none begins
+    there, at a word, else overlap characters before. Line ends are always tried before a line is cut, so a cut is forced
+    only inside a line that alone is longer than limit; there it falls at the deepest valley between sentences (in prose)
+    or words if it can, and never between the halves of a CRLF. An overlap is shortened only where a whole line would be cut for it.
     """
     pieces: list[tuple[int, int, str]] = []
     done, n = 0, len(text)
     while True:
-        start = done
-        if done and overlap:
-            behind = _places(text, max(pieces[-1][0], done - overlap - 1), done - 1, prose)
-            lines = [p for p in behind if p >= done - overlap and p > pieces[-1][0]]
-            start = min(lines, default=done)
+        least = max(done - overlap, pieces[-1][0] + 1) if done and overlap else done
+        start = _begin(text, least, done, prose)
         if n - start <= limit:
             pieces.append((start, n, "end"))
             return pieces
@@ -98,14 +96,18 @@ def split(text: str, limit: int, overlap: int, prose: bool) -> list[tuple[int, i
         places = _places(text, done, stop, prose)
         window = {p: r for p, r in places.items() if p > done + limit // 2} or places
         lines = [p for p, r in window.items() if r >= 2]
-        if not lines and start < done:  # the overlap may not cost a natural cut
-            start, stop = done, done + limit
-            if n - start <= limit:
-                pieces.append((start, n, "end"))
+        if not lines and start < done and text[done - 1] == "\n":  # the overlap may not cost a natural cut
+            if n - done <= limit:
+                pieces.append((_begin(text, max(least, n - limit), done, prose), n, "end"))
                 return pieces
-            places = _places(text, done, stop, prose)
-            window = {p: r for p, r in places.items() if p > done + limit // 2} or places
-            lines = [p for p, r in window.items() if r >= 2]
+            if text[done + limit : done + limit + 1] == "\n" or text[done + limit : done + limit + 2] == "\r\n":
+                stop = done + limit
+            places = _places(text, done, done + limit, prose)
+            if any(r >= 2 for r in places.values()) or stop == done + limit:
+                window = {p: r for p, r in places.items() if p > done + limit // 2} or places
+                lines = [p for p, r in window.items() if r >= 2]
+            else:
+                places = {p: r for p, r in places.items() if p <= stop}
         cut = "natural"
         if lines:
             best = max(window[p] for p in lines)
@@ -118,7 +120,9 @@ def split(text: str, limit: int, overlap: int, prose: bool) -> list[tuple[int, i
             line_end = text.find("\n", done)
             line_end = n if line_end < 0 else line_end
             cut = "forced" if line_end - done > limit or done and text[done - 1] != "\n" and _line_length(text, done) > limit else "natural"
-            end = max(window) if window else _word_end(text, done, stop)
+            end = _deepest(text, list(window) or _word_ends(text, done + limit // 2, stop) or [stop])
+        if end - start > limit:
+            start = _begin(text, max(least, end - limit), done, prose)
         pieces.append((start, end, cut))
         done = end
 
@@ -129,11 +133,19 @@ def _line_length(text: str, at: int) -> int:
     return (len(text) if b < 0 else b) - a
 
 
-def _word_end(text: str, start: int, stop: int) -> int:
-    for i in range(stop, max(start + 1, stop - 400), -1):
-        if not (text[i - 1].isalnum() and text[i].isalnum()) and text[i - 1 : i + 1] != "\r\n":
-            return i
-    return stop
+def _word_ends(text: str, start: int, stop: int) -> list[int]:
+    """Places within (start, stop] that are not inside a word, nor between the halves of a CRLF."""
+    return [i for i in range(start + 1, stop + 1) if not (text[i - 1].isalnum() and text[i].isalnum()) and text[i - 1 : i + 1] != "\r\n"]
+
+
+def _begin(text: str, least: int, done: int, prose: bool) -> int:
+    """Where within [least, done) a piece begins that repeats what stands before done: the first line or (in prose) sentence there, else the first word, else least."""
+    if least >= done:
+        return done
+    behind = [p for p in _places(text, least - 1, done - 1, prose) if p >= least]
+    words = (p for p in range(least, done) if text[p].isalnum() and not text[p - 1].isalnum())
+    start = min(behind) if behind else next(words, least)
+    return done if text[start - 1 : start + 1] == "\r\n" else start
 
 
 def cut_oversized(rows: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", path_col: str = "path", kind_col: str = "kind", limit: int = 8000, overlap: int = 400) -> DataFrame:

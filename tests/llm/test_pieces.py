@@ -39,6 +39,30 @@ def test_one_long_line():
     assert [c for _, _, c in check("x" * 100 + "\n" + "y" * 100, 100, 0, False)] == ["natural", "natural", "end"]
 
 
+def test_overlap_inside_a_long_line():
+    blob = check("x" * 1000, 100, 20, False)
+    assert all(s == e - 20 for (_, e, _), (s, _, _) in zip(blob, blob[1:], strict=False))
+    for text, prose in (("word " * 2000, False), ("word " * 2000, True), ("One has two. " * 900, True)):
+        out = check(text, 1000, 100, prose)
+        assert len(out) > 2
+        for (_, e, _), (s, _, _) in zip(out, out[1:], strict=False):
+            assert 80 <= e - s <= 100 and text[s].isalnum() and text[s - 1] == " "
+
+
+def test_overlap_leaves_whole_lines_whole():
+    out = check("".join(c * 95 + "\n" for c in "abcdefgh"), 100, 20, False)
+    assert {c for _, _, c in out} == {"natural", "end"} and [e - s for s, e, _ in out[1:]] == [100] * 7
+
+
+def test_forced_cut_at_a_valley():
+    for stop, prose in ((" ", False), (" ", True), (". ", True)):
+        a = "".join(f"apple pear plum fruit juice{stop}" for _ in range(130))
+        b = "".join(f"engine wheel brake motor road{stop}" for _ in range(130))
+        text = a + b
+        first = check(text, len(a) + 900, 100, prose)[0]
+        assert first[2] == "forced" and abs(first[1] - len(a)) <= 2
+
+
 def test_operator(spark):
     rows = spark.createDataFrame([("a", "a.py", "file", "x = 1\n" * 50, 1), ("a", "a.py", "file", "x = 1\n" * 50, 1), ("b", None, None, "é" * 100, 1), ("c", "c", "file", None, 1), ("d", "d", "file", "", 1), (None, "e", "file", "y" * 500, 1)], "chunk_id string, path string, kind string, text string, piece int")
     got = cut_oversized(rows, limit=100, overlap=10).collect()
