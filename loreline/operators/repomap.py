@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreline.functions.paths import basename
 from loreline.functions.text import tokenize
-from loreline.operators.graph import import_edges, test_edges
+from loreline.operators.graph import import_links, symbol_edges, test_edges
 from loreline.session import cut
 
 SPACE = ["repo", "base_commit"]
@@ -33,9 +33,10 @@ def query_scores(samples: DataFrame, files: DataFrame, chunks: DataFrame) -> Dat
     return cand.select("sample_id", *SPACE, "path", ((F.coalesce("w", F.lit(0.0)) + bonus) / F.greatest(F.lit(1.0), F.sqrt(F.coalesce("size", F.lit(1))))).alias("score"), (bonus > 0).alias("mentioned"))
 
 
-def file_graph(files: DataFrame) -> DataFrame:
-    """(repo, base_commit, src, dst, weight), both ways: imports 1.5, tests 2.0."""
-    e = import_edges(files).withColumn("weight", F.lit(1.5)).unionByName(test_edges(files).withColumn("weight", F.lit(2.0)))
+def file_graph(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(repo, base_commit, src, dst, weight), both ways: imports 1.5 each time, symbols 1.0, tests 2.0."""
+    e = import_links(files).select(*SPACE, "src", "dst", (F.col("n") * 1.5).alias("weight"))
+    e = e.unionByName(symbol_edges(files, chunks).withColumn("weight", F.lit(1.0))).unionByName(test_edges(files).withColumn("weight", F.lit(2.0)))
     both = e.unionByName(e.select(*SPACE, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     return both.groupBy(*SPACE, "src", "dst").agg(F.sum("weight").alias("weight"))
 
@@ -47,7 +48,7 @@ def rank_files(samples: DataFrame, files: DataFrame, chunks: DataFrame, rounds:
     Affinity is 0.4 for files that the query mentions and 1.0 for their neighbours.
     """
     q = cut(query_scores(samples, files, chunks))
-    edges = cut(file_graph(files))
+    edges = cut(file_graph(files, chunks))
     near = q.filter("mentioned").select("sample_id", *SPACE, F.col("path").alias("src")).join(edges, [*SPACE, "src"]).select("sample_id", F.col("dst").alias("path")).distinct().withColumn("near", F.lit(1.0))
     rows = q.join(near, ["sample_id", "path"], "left").withColumn("affinity", F.when(F.col("mentioned"), 0.4).otherwise(0.0) + F.coalesce("near", F.lit(0.0))).drop("near")
     whole = Window.partitionBy("sample_id")

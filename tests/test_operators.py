@@ -120,6 +120,25 @@ def test_graph(spark):
     assert {(e.src, e.dst) for e in graph.test_edges(files).collect()} == {("src/app/util.py", "tests/test_util.py")}
 
 
+def test_imports_by_relative_path_and_suffix(spark):
+    texts = {
+        "a/util.py": "", "b/util.py": "", "b/c/__init__.py": "", "b/c/deep.py": "from . import x\nfrom ..util import y\n", "web/lib/index.ts": "", "web/lib/one.ts": "import { t } from './two.js'; const l = require('.')\n", "web/lib/two.ts": "", "web/main.ts": "import { l } from './lib'\nimport { m } from '../web/lib/one'\n",
+        "m.rs": "use crate::b::c::deep\n// use a::util\n", "z.py": "import b.util, os\nimport b.util\n", **{f"p{i}/shared.py": "" for i in range(10)}, "q.py": "from p9.shared import x\nimport shared\n",
+    }
+    files = spark.createDataFrame([("r", "c", k, v) for k, v in texts.items()], "repo string, base_commit string, path string, text string")
+    got = {(e.src, e.dst): e.n for e in graph.import_links(files).collect()}
+    want = {("b/c/deep.py", "b/c/__init__.py"): 1, ("b/c/deep.py", "b/util.py"): 1, ("web/lib/one.ts", "web/lib/two.ts"): 1, ("web/lib/one.ts", "web/lib/index.ts"): 1, ("web/main.ts", "web/lib/index.ts"): 1, ("web/main.ts", "web/lib/one.ts"): 1, ("m.rs", "b/c/deep.py"): 1, ("z.py", "b/util.py"): 2, ("q.py", "p9/shared.py"): 1, **{("q.py", f"p{i}/shared.py"): 1 for i in range(8)}}
+    assert got == want
+
+
+def test_symbol_edges(spark):
+    texts = {"src/a.py": "def flushCache(): pass", "src/b.py": "cache = 1; flush(cache)", "src/c.py": "cache only", "tests/test_d.py": "reconnecting()", "src/e.py": "class Reconnecting: pass", "docs/f.md": "flush the cache", "src/g.py": "short"}
+    files = spark.createDataFrame([("r", "c", k, v) for k, v in texts.items()], "repo string, base_commit string, path string, text string")
+    chunks = spark.createDataFrame([("r", "c", "src/a.py", "flushCache"), ("r", "c", "src/e.py", "Reconnecting"), ("r", "c", "src/c.py", "Short"), ("r", "c", "src/c.py", "get"), ("r", "c", "docs/f.md", "cacheOnly"), ("r", "c", "src/c.py", None), *[("r", "c", f"src/n{i}.py", "everyWhere") for i in range(9)]], "repo string, base_commit string, path string, symbol string")
+    assert {(e.src, e.dst) for e in graph.symbol_edges(files, chunks).collect()} == {("src/b.py", "src/a.py"), ("tests/test_d.py", "src/e.py")}
+    assert graph.symbol_edges(files, chunks, most_files=3).count() == 0
+
+
 def test_pagerank_against_loop(spark):
     rng = random.Random(3)
     nodes = {f"n{i}": float(i % 3) for i in range(12)}
