@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreline.llm.tokens import same_spelling
+from loreline.operators.joins import lookup_join
+from loreline.session import cut
 
 #: Hashed features.
 DIMENSIONS = 1 << 15
@@ -67,8 +69,17 @@ def surely_odd(text: str, n_chars: int | None, limits: set[int]) -> bool:
     return bool(_MARK.search(text)) or reported or (at_limit(text, limits) and text.rstrip()[-1:] not in ".?!。`}")
 
 
-def describe(text: str, kind: str, source: str, ending: str, n_chars: int | None, limits: dict[str, set[int]], vocabulary: frozenset[str] = frozenset()) -> list[int]:
-    """Hashed features of how a text closes."""
+def _hashed(features: list[str]) -> set[int]:
+    return {zlib.crc32(x.encode("utf-8", "replace")) % DIMENSIONS for x in features}
+
+
+def describe(text: str, kind: str, source: str, ending: str, n_chars: int | None, limits: dict[str, set[int]]) -> list[int]:
+    """Hashed features of how a text closes, without what its last word tells."""
+    return sorted(closing(text, kind, source, ending, n_chars, limits)[1])
+
+
+def closing(text: str, kind: str, source: str, ending: str, n_chars: int | None, limits: dict[str, set[int]]) -> tuple[str | None, set[int], set[int], set[int]]:
+    """The word a text ends in (null where it ends in none), hashed features of how it closes, those besides if the word is whole, and if it is not."""
     f: list[str] = []
     form = {"source_file": "code", "config_file": "conf", "failure_log": "log"}.get(kind, "prose")
     style = form + ending if form in ("code", "conf") else form
@@ -109,16 +120,28 @@ def describe(text: str, kind: str, source: str, ending: str, n_chars: int | None
         f.append(f"kind {kind}")
     closed = kind_of_end in ".?!。`}" or kind_of_end == "none"
     f.append(f"limit {at_limit(text, limits.get(source, set()))} {closed}")
-    if vocabulary and kind_of_end == "letter":
-        word = _SUBWORD.findall(last_line)[-1:]
-        whole = bool(word) and word[0].lower() in vocabulary
-        f += [f"word {whole}", f"word {form} {whole} {newline > 0}", f"word {form} {whole} {' '.join(tight[:1])} {_bucket(len(tight))} {shapes[-1] == 'I'}"]
+    word, known, part = None, [], []
+    if kind_of_end == "letter":
+        word = "".join(subwords(last_line)[-1:])
+        known, part = ([f"word {x}", f"word {form} {x} {newline > 0}", f"word {form} {x} {' '.join(tight[:1])} {_bucket(len(tight))} {shapes[-1] == 'I'}"] for x in (True, False))
     if n_chars is not None and n_chars > len(text.encode("utf-8", "replace")):
         f.append("reported longer")
     if end == "�":
         f.append("broken character")
     f.append("always")
-    return sorted({zlib.crc32(x.encode("utf-8", "replace")) % DIMENSIONS for x in f})
+    return word, _hashed(f), _hashed(known), _hashed(part)
+
+
+def common_words(texts: DataFrame, least_texts: int = 2) -> DataFrame:
+    """(word, known): the words, without regard to case, of at least least_texts rows (text), before their last 80 characters."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = Counter(w for text in batch["text"] for w in set(subwords(text[:-80])))
+            yield pd.DataFrame(list(seen.items()), columns=["word", "n"], dtype=object)
+
+    counts = texts.select("text").mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("n") >= least_texts).select("word", F.lit(True).alias("known"))
 
 
 def cut_once(text: str, rng: np.random.Generator, limits: set[int]) -> str | None:
@@ -186,14 +209,14 @@ def source_limits(docs: DataFrame, *, source_col: str = "source", text_col: str
     return out
 
 
-def cut_off(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", kind_col: str = "kind", path_col: str = "path", reported_col: str = "n_chars", sample_rows: int = 8000, vocabulary_size: int = 50_000, threshold: float = 0.6, decay: float = 1e-5, steps: int = 500) -> DataFrame:
+def cut_off(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", kind_col: str = "kind", path_col: str = "path", reported_col: str = "n_chars", sample_rows: int = 8000, least_texts: int = 2, threshold: float = 0.6, decay: float = 1e-5, steps: int = 500) -> DataFrame:
     """(id, source, score, cut): how likely each text was cut off before its end, and whether it is at least threshold.
 
     About sample_rows texts, drawn by a hash of their ids, train the regression: each as it is, and each cut
     inside a word, sentence or line, at a length at which its source cuts or anywhere, some with a mark put after the
     cut or with the length reported before it. Texts that carry such a mark, are reported longer than they are, or are as
     long as their source allows without closing are no examples; texts that a regression fitted on the other half of the
-    examples takes for cut are left out as intact ones. The sample's words (at most vocabulary_size) tell whether a last word is whole. Lengths at which sources cut are counted over all rows, and all rows are scored, whole.
+    examples takes for cut are left out as intact ones. Words of at least least_texts texts tell whether a last word is whole. They and the lengths at which sources cut are counted over all rows, and all rows are scored, whole.
 
     Null and blank texts are not cut (score 0). Null sources, kinds, paths and reported lengths are values like others. Null ids
     are left out, repeated rows repeat their result. An empty table gives no rows.
@@ -207,13 +230,13 @@ def cut_off(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     share = min(1.0, sample_rows / max(1, total))
     drawn = readable.withColumn("h", F.xxhash64(F.lit(10), "id", "text")).filter(F.pmod(F.col("h"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen = Counter(w for text in batch["text"] for w in set(subwords(text[:-80])))
-            yield pd.DataFrame(sorted(seen.items()), columns=["word", "n"], dtype=object)
+    common = cut(common_words(readable, least_texts))
+    any_known = not common.isEmpty()
 
-    common = drawn.select("text").mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(vocabulary_size)
-    vocabulary = frozenset(r["word"] for r in common.collect())
+    def either(text: str, *rest) -> tuple[str | None, list[int], list[int] | None]:
+        """The last word, the features if it is whole, and those if it is not."""
+        word, f, known, part = closing(text, *rest)
+        return (word, sorted(f | known), sorted(f | part)) if any_known and word is not None else (None, sorted(f), None)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,16 +247,18 @@ def cut_off(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 known = limits.get(source, set())
                 if surely_odd(text, n, known):
                     continue
-                out.append((int(h), 0, describe(text, kind, source, end, n, limits, vocabulary)))
+                out.append((int(h), 0, *either(text, kind, source, end, n, limits)))
                 head = cut_once(text, rng, known)
                 if head is not None:
                     said = len(text) if rng.random() < 0.1 else len(head)
                     if rng.random() < 0.15:
                         head += MARKS[int(rng.integers(len(MARKS)))]
-                    out.append((int(h), 1, describe(head, kind, source, end, said, limits, vocabulary)))
-            yield pd.DataFrame(out, columns=["h", "y", "f"], dtype=object)
+                    out.append((int(h), 1, *either(head, kind, source, end, said, limits)))
+            yield pd.DataFrame(out, columns=["h", "y", "word", "f", "f_part"], dtype=object)
 
-    sample = drawn.mapInPandas(featured, "h long, y int, f array<int>").toPandas().sort_values(["h", "y"])
+    examples = lookup_join(cut(drawn.mapInPandas(featured, "h long, y int, word string, f array<int>, f_part array<int>")), common, ["word"], "left")
+    whole = F.col("word").isNull() | F.col("known").isNotNull()
+    sample = examples.select("h", "y", F.when(whole, F.col("f")).otherwise(F.col("f_part")).alias("f")).toPandas().sort_values(["h", "y"])
     if len(sample) and sample["y"].nunique() == 2:
         x, y = [np.asarray(f, dtype=np.int64) for f in sample["f"]], sample["y"].to_numpy(float)
         odd = _odd(x, y, sample["h"].to_numpy() % 2, decay, steps)
@@ -247,16 +272,19 @@ def cut_off(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             out = []
             for i, text, source, kind, end, reported in batch.itertuples(index=False, name=None):
-                p = 0.0
+                word, z, z_part = None, None, None
                 if text is not None and text.strip():
                     n = None if reported is None or reported != reported else int(reported)
-                    z = float(weights[describe(text, kind, source, end, n, limits, vocabulary)].sum())
-                    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                out.append((i, source, p, bool(p >= threshold)))
-            yield pd.DataFrame(out, columns=[id_col, "source", "score", "cut"], dtype=object)
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("source", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cut", T.BooleanType())])
-    return rows.mapInPandas(scored, schema)
+                    word, *f = either(text, kind, source, end, n, limits)
+                    z, z_part = (None if x is None else float(weights[x].sum()) for x in f)
+                out.append((i, source, word, z, z_part))
+            yield pd.DataFrame(out, columns=[id_col, "source", "word", "z", "z_part"], dtype=object)
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("source", T.StringType()), T.StructField("word", T.StringType()), T.StructField("z", T.DoubleType()), T.StructField("z_part", T.DoubleType())])
+    met = lookup_join(cut(rows.mapInPandas(scored, schema)), common, ["word"], "left")  # cut: a large lookup is joined in parts, and texts are to be read once
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.when(whole, F.col("z")).otherwise(F.col("z_part"))))
+    score = F.when(F.col("z").isNull(), 0.0).otherwise(1 / (1 + F.exp(-z)))
+    return met.select(id_col, "source", score.alias("score"), (score >= threshold).alias("cut"))
 
 
 def cut_rates(scored: DataFrame) -> DataFrame:

@@ -36,6 +36,20 @@ def test_cut_off(spark):
     assert cutoff.cut_off(docs.limit(0)).count() == 0
 
 
+def test_words_are_counted_over_all_texts(spark, monkeypatch):
+    docs, _ = corpus(spark)
+    count, read = cutoff.common_words, []
+    monkeypatch.setattr(cutoff, "common_words", lambda texts, least: read.append(texts.count()) or count(texts, least))
+    assert cutoff.cut_off(docs, sample_rows=50).count() == 604 and read == [602]
+    many = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60_000)) + " " * 80
+    texts = spark.createDataFrame([(many,), (many,), ("single " * 20,)], "text string")
+    assert count(texts).count() == 60_000 and count(texts, 3).count() == 0
+
+
+def test_last_words():
+    assert [cutoff.closing(t, "issue", "s", "", None, {})[0] for t in ("the loadCach", "a line\nThe en [...]", "done.", "v2", "", "終わり", "snake_ca ")] == ["cach", "en", None, None, None, None, "ca"]
+
+
 def test_limits_are_found(spark):
     rng = np.random.default_rng(2)
     rows = [(prose(rng, 9)[: 300 if i % 4 == 0 else 1000] + str(i) * (i % 4 != 0), "Pr-Rest" if i % 2 == 0 else "other") for i in range(400)]
