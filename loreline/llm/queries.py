@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreline.llm import credentials, cutoff, mixing, not_handwritten, packing, pieces, tokens
@@ -38,9 +38,15 @@ def p2_document_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.estimate_tokens(table(spark, folder, "documents")).select("doc_id", "language", F.round("est_tokens", 3).alias("est_tokens"))
 
 
+def repo_key(repo: Column) -> Column:
+    """owner/name of a repository, however spelled: case, blanks, a URL's head, slashes around it and .git do not count."""
+    bare = F.regexp_replace(F.lower(F.trim(repo)), r"^(?:[a-z][a-z0-9+.-]*://(?:[^/@]*@)?[^/]*/|[^/@:]+@[^/:]+:|(?:www\.)?(?:github|gitlab|bitbucket)\.(?:com|org)/)", "")
+    return F.regexp_replace(F.regexp_replace(bare, "^/+|/+$", ""), r"(?:\.git)+$", "")
+
+
 def p2_token_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and estimated tokens by source, by language, by the language of the repository, by domain, and of all."""
-    repo = F.lower(F.trim("repo"))
+    repo = repo_key(F.col("repo"))
     docs = table(spark, folder, "documents").withColumn("_source", F.coalesce(tokens.same_spelling(F.col("source")), F.lit("unknown"))).withColumn("_repo", repo).withColumn("_kind", F.coalesce("kind", F.lit("unknown")))
     counted = tokens.estimate_tokens(docs, keep=["_source", "_repo", "_kind"])
     newest = table(spark, folder, "repo_manifest").withColumn("_repo", repo).groupBy("_repo").agg(F.max(F.struct("fetched_at", "language")).alias("m"))

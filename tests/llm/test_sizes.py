@@ -2,8 +2,9 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from loreline.llm import mixing, packing, tokens
+from loreline.llm import mixing, packing, queries, tokens
 from loreline.llm.packing import Windows
 
 WORDS = ["alpha", "beta", "gamma", "Delta", "x1", "(", ")", "é", "中文", "\n"]
@@ -94,3 +95,16 @@ def test_short_sources_repeat_no_more_than_they_may(spark):
     targets = spark.createDataFrame([("small", 0.5, 3), ("big", 0.5, 1)], "source string, target_share double, max_repeats int")
     m = mixing.mix(d, targets).collect()
     assert {r.copies for r in m if r.source == "small"} == {3} and {r.copies for r in m if r.source == "big"} == {1}
+
+
+def test_repo_spellings(spark):
+    same = ["own/name", " Own/Name ", "own/name.git", "own/name/", "own/name.git/", "https://github.com/own/name", "https://me@host.org/Own/Name.git", "git@github.com:own/name.git", "ssh://git@host:22/own/name", "github.com/own/name"]
+    got = spark.createDataFrame([(x,) for x in [*same, "own/git", "own/name.github", None]], "repo string").select(queries.repo_key(F.col("repo"))).collect()
+    assert [r[0] for r in got] == ["own/name"] * len(same) + ["own/git", "own/name.github", None]
+
+
+def test_totals_find_the_language_of_repos_spelled_otherwise(spark, tmp_path):
+    spark.sql("select concat('d', id) as doc_id, 'some text of a file' as text, 'en' as lang, 'web' as source, 19L as n_chars, element_at(array('own/name', 'Own/Name.git', 'https://github.com/own/name/', 'un/known'), cast(id % 4 as int) + 1) as repo, 'a.py' as path, 'source_file' as kind from range(80)").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("select 'own/name.git' as repo, 'Go' as language, timestamp'2024-01-01' as fetched_at").write.parquet(f"{tmp_path}/repo_manifest.parquet")
+    got = {r.value: r.documents for r in queries.p2_token_totals(spark, str(tmp_path)).collect() if r.slice == "repo_language"}
+    assert got == {"go": 60, "unknown": 20}
