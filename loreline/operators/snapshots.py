@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreline.operators.joins import lookup_join
+from loreline.operators.joins import BROADCAST_ROWS, HEAVY_SHARE, lookup_join
+from loreline.operators.running import previous
+from loreline.session import cut
 
 
 def latest(df: DataFrame, key: list[str], order: list[str], keep: list[str]) -> DataFrame:
@@ -32,9 +34,12 @@ def snapshot_index(manifest: DataFrame) -> DataFrame:
 
 
 def consecutive(snapshots: DataFrame) -> DataFrame:
-    """(repo, prev_commit, base_commit) of each counting snapshot that has one before it in its line, ordered by committed_at, then commit."""
-    line = Window.partitionBy("repo", "base_ref").orderBy("committed_at", "base_commit")
-    return snapshots.filter("counts").withColumn("prev_commit", F.lag("base_commit").over(line)).filter(F.col("prev_commit").isNotNull()).select("repo", "prev_commit", "base_commit")
+    """(repo, prev_commit, base_commit) of each counting snapshot that has one before it in its line, ordered by committed_at, then commit.
+
+    A line may hold most of the snapshots; it is never ordered in one task.
+    """
+    placed = snapshots.filter("counts").select("repo", "base_ref", "committed_at", "base_commit")
+    return previous(placed, ["repo", "base_ref"], ["committed_at", "base_commit"], "base_commit", "prev_commit").filter(F.col("prev_commit").isNotNull()).select("repo", "prev_commit", "base_commit")
 
 
 def digest(c: Column) -> Column:
@@ -42,7 +47,7 @@ def digest(c: Column) -> Column:
     return F.unhex(F.md5(F.replace(c, F.lit("\r\n"), F.lit("\n"))))
 
 
-def snapshot_changes(rows: DataFrame, pairs: DataFrame, snapshot: list[str], prev: str, key: list[str], fields: list[str]) -> DataFrame:
+def snapshot_changes(rows: DataFrame, pairs: DataFrame, snapshot: list[str], prev: str, key: list[str], fields: list[str], *, weights: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """What was added, removed or changed between consecutive snapshots: pairs' columns, key, change, changed_fields.
 
     rows holds whole snapshots: snapshot columns, key columns and fields (values or digests of them). pairs holds, for
@@ -55,7 +60,8 @@ def snapshot_changes(rows: DataFrame, pairs: DataFrame, snapshot: list[str], pre
 
     Repeated rows within a snapshot count once. Null values equal only null; a null key is a key of its own. A snapshot
     without rows is empty, so all keys of the one before are 'removed'. Empty inputs give no rows. Other columns of
-    rows are not looked at.
+    rows are not looked at. weights, rows that name their snapshot as often as rows do, tells which
+    snapshots hold so many rows that these are to be spread; where it is null, rows are cut and counted.
     """
     *space, commit = snapshot
     later = pairs.select(*space, F.col(commit).alias("_at"), F.col(commit).alias("_pair"), F.lit(1).cast("tinyint").alias("_sign"))
@@ -66,7 +72,7 @@ def snapshot_changes(rows: DataFrame, pairs: DataFrame, snapshot: list[str], pre
         F.struct(F.lit(-1).cast("tinyint").alias("field"), F.lit(None).cast("binary").alias("value")),
         *[F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).cast("binary").alias("value")) for i, f in enumerate(fields)],
     )
-    unpivoted = lookup_join(given, roles, snapshot).select(*space, F.explode("_roles").alias("_role"), *key, cells.alias("_cells")).select(*space, F.col("_role._pair").alias("_pair"), F.col("_role._sign").alias("_sign"), *key, F.explode("_cells").alias("_cell")).select(*space, "_pair", *key, "_cell.field", "_cell.value", "_sign")
+    unpivoted = lookup_join(given, roles, snapshot, weights=weights, broadcast_rows=broadcast_rows, heavy_share=heavy_share).select(*space, F.explode("_roles").alias("_role"), *key, cells.alias("_cells")).select(*space, F.col("_role._pair").alias("_pair"), F.col("_role._sign").alias("_sign"), *key, F.explode("_cells").alias("_cell")).select(*space, "_pair", *key, "_cell.field", "_cell.value", "_sign")
     side = lambda s: F.max(F.when(F.col("_sign") == s, F.lit(1)).otherwise(F.lit(0)))
     left_over = unpivoted.groupBy(*space, "_pair", *key, "field", "value").agg((side(1) - side(-1)).alias("_net")).filter("_net <> 0")
     per_key = left_over.groupBy(*space, "_pair", *key).agg(F.max(F.when(F.col("field") == -1, F.col("_net"))).alias("_presence"), F.array_sort(F.collect_set(F.when(F.col("field") >= 0, F.col("field")))).alias("_fields"))
@@ -74,16 +80,17 @@ def snapshot_changes(rows: DataFrame, pairs: DataFrame, snapshot: list[str], pre
     change = F.when(F.col("_presence") == 1, "added").when(F.col("_presence") == -1, "removed").otherwise("changed")
     changed_fields = F.when(change == "changed", F.transform("_fields", lambda i: F.get(names, i)))
     changes = per_key.select(*space, F.col("_pair").alias(commit), *key, change.alias("change"), changed_fields.alias("changed_fields"))
-    return lookup_join(changes, pairs, snapshot).select(*space, prev, commit, *key, "change", "changed_fields")
+    return lookup_join(changes, pairs, snapshot, broadcast_rows=broadcast_rows, heavy_share=heavy_share).select(*space, prev, commit, *key, "change", "changed_fields")
 
 
-def file_changes(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
+def file_changes(chunks: DataFrame, manifest: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """(repo, prev_commit, base_commit, path, change, changed_fields) over the files of a corpus' consecutive counting snapshots.
 
     The current row of a chunk_id is the one with the greatest ingested_at; only those of kind 'file' are compared.
     Rows without chunk_id, repo, base_commit or path name no file and are left out.
     """
-    pairs = consecutive(snapshot_index(manifest))
+    pairs = cut(consecutive(snapshot_index(manifest)))
     narrow = chunks.dropna(subset=["chunk_id", "repo", "base_commit", "path"]).select("chunk_id", "repo", "base_commit", "path", (F.col("kind") == "file").alias("is_file"), "ingested_at", F.when(F.col("kind") == "file", digest(F.col("text"))).alias("text"))
     current = latest(narrow, ["chunk_id"], ["ingested_at"], ["repo", "base_commit", "path", "is_file", "text"]).filter("is_file")
-    return snapshot_changes(current, pairs, ["repo", "base_commit"], "prev_commit", ["path"], ["text"])
+    # how many rows a snapshot has is counted on the raw table, of which only the two columns are read
+    return snapshot_changes(current, pairs, ["repo", "base_commit"], "prev_commit", ["path"], ["text"], weights=chunks.select("repo", "base_commit"), broadcast_rows=broadcast_rows, heavy_share=heavy_share)

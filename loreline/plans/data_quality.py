@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.operators.references import orphan_references
+from loreline.operators.references import Orphans, orphan_references
 from loreline.operators.snapshots import file_changes
 from loreline.sources.tables import table
 
@@ -19,17 +19,17 @@ def p1_change_counts(spark: SparkSession, folder: str) -> DataFrame:
     return p1_found(spark, folder).groupBy("repo", "prev_commit", "base_commit").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed")])
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _orphans(spark: SparkSession, folder: str) -> Orphans:
     return orphan_references(*[table(spark, folder, t) for t in ("comment2context", "corpus_manifest", "chunks")])
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select("id", "ref_field", "ref_value", "state")
+    return _orphans(spark, folder).rows().select("id", "ref_field", "ref_value", "state")
 
 
 def p3_orphan_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references per table they point to, month of the sample's creation, field and state."""
-    return _orphans(spark, folder).groupBy(F.col("table").alias("ref_table"), "month", "ref_field", "state").agg(F.count(F.lit(1)).alias("orphans"))
+    return _orphans(spark, folder).counts().withColumnRenamed("table", "ref_table")
 
 
 SNAPSHOTS_SQL = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="loreline-"))
+            folder = tempfile.mkdtemp(prefix="loreline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.setCheckpointDir(folder)
         return sc._jsc.sc().getCheckpointDir().get()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)

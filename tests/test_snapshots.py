@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from loreline.operators.joins import lookup_join
+from loreline.operators.running import previous, ranked_within
 from loreline.operators.snapshots import consecutive, file_changes, snapshot_changes, snapshot_index
 
 MANIFEST = "repo string, base_commit string, base_ref string, committed_at timestamp, status string, generated_at timestamp"
@@ -17,7 +18,9 @@ def chunks(spark, *rows):
 
 
 def changes(c, m):
-    return {(r.prev_commit, r.base_commit, r.path, r.change) for r in file_changes(c, m).collect()}
+    got = [{(r.prev_commit, r.base_commit, r.path, r.change) for r in file_changes(c, m, **kw).collect()} for kw in ({}, {"broadcast_rows": 0, "heavy_share": 0.2})]
+    assert got[0] == got[1]
+    return got[0]
 
 
 def test_counts_by_youngest_row(spark):
@@ -72,3 +75,14 @@ def test_lookup_join_is_whole_when_a_key_is_hot(spark):
         assert len(plain) == n
         assert sorted(lookup_join(rows, lookup, ["k"], how, broadcast_rows=10, heavy_share=0.1).collect(), key=str) == plain
         assert sorted(lookup_join(rows, lookup, ["k"], how, broadcast_rows=10, heavy_share=0.9).collect(), key=str) == plain
+
+
+def test_order_is_kept_over_parts(spark):
+    """A group that holds most of the rows is split; looking back and counting go on over the borders."""
+    rows = [("hot", i) for i in range(400)] + [(f"g{k}", i) for k in range(20) for i in range(3)] + [(None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(5)
+    got = {(r.g, r.i): r.p for r in previous(df, ["g"], ["i"], "i", "p").collect()}
+    have = set(rows)
+    assert got == {(g, i): i - 1 if (g, i - 1) in have else None for g, i in rows}
+    placed = {(r.g, r.i): (r.k, r.k_of) for r in ranked_within(df, ["g"], ["i"], "k").collect()}
+    assert placed == {(g, i): (sum(1 for x, j in rows if x == g and j <= i), sum(1 for x, _ in rows if x == g)) for g, i in rows}
