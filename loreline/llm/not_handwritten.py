@@ -2,8 +2,8 @@
 
 A random forest looks at what a file is made of: how well it compresses, the entropy of its tokens, its identifiers, its
 comments, how alike its lines are. Header notices and file names that say what a file is label the examples, and are
-hidden from the features. Output of tools, minified files and data differ from hand-written code in these features.
-Copies of a third party's files do not, for somebody wrote them by hand; only what says so, the notice or the folder, tells them.
+hidden from the features; they decide nothing by themselves. Copies of a third party's files do not differ in these
+features, for somebody wrote them by hand; only what says where they come from, the notice or the folder, tells them.
 """
 
 from __future__ import annotations
@@ -24,16 +24,14 @@ from pyspark.sql import types as T
 
 from loreline.session import cut
 
-#: Lines at the top of a file in which a notice is looked for.
-HEAD = 8
 _COMMENT = re.compile(r"\s*(?:#(?!\[)|//|/\*|\*|<!--|--|;|\"\"\"|''')")
 _REMARK = re.compile(r"^\s*(?:#(?!\[)|//|/\*|\*|<!--)|\s(?:#|//) \w")
-# What notices say.
-_HAND = re.compile(r"(?i)(?:maintained|written|edited) by hand|not a build output|chosen by (?:experiment|hand)|(?:release|build) helper")
-_OWNED = re.compile(r"(?i)SPDX-License-Identifier|copyright .*contributors")
+# What notices say. The first two label examples, the last tells where a copy comes from.
+_HAND = re.compile(r"(?i)(?:maintained|written|edited|kept|tuned) by hand|hand[- ](?:written|maintained)|not (?:a build output|generated)")
 _TOOL = re.compile(r"(?i)\b(?:code )?(?:auto-?)?generated (?:by|from|with)\b|@generated\b|\bautogenerated\b|\bauto-generated\b|\bautomatically (?:generated|created|produced)|created automatically|automatisch erzeugt|\bproduced by \S+ .*from|généré automatiquement|generado automáticamente|do not (?:edit|modify)\b|manual changes will be lost|^\W*source: \S+\.proto")
 _BANNER = re.compile(r"/\*! ?[\w./@-]+ v?\d+(?:\.\d+)+ ?\|")
-_THIRD = re.compile(r"(?i)unmodified copy of|vendored from|imported as is\b|copied from https?:|\(c\) \d{4} the \w+ authors|^\W{1,4}lib\w+ v?\d+\.\d+\.\d+\W*$")
+_OWNED = re.compile(r"(?i)SPDX-License-Identifier|copyright .*contributors")
+_PROVENANCE = re.compile(r"(?i)\b(?:vendored|verbatim|unmodified|unchanged)\b.*\b(?:copy|from|of|version)\b|\b(?:imported|copied|included|taken) (?:as[- ]is|verbatim|unchanged|from (?:https?:|git:|upstream))|\bthird[- ]party (?:code|copy|file|library|source)|(?:\(c\)|©) ?\d{4}(?:-\d{4})? the \S+ (?:authors|developers|team)|\bupstream (?:copy|version|source)\b|^\W*[a-z][\w.-]+ v?\d+\.\d+\.\d+\W*$")
 # Names and folders that say what a file is.
 _TOOL_NAME = re.compile(r"(?i)\.min\.(?:js|css|mjs)$|\.bundle\.js$|\.map$|\.pb\.(?:go|cc|h)$|_pb2(?:_grpc)?\.pyi?$|\.(?:generated|gen|g)\.\w+$|(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|npm-shrinkwrap\.json|go\.sum|[\w-]+\.lock)$")
 _THIRD_FOLDER = re.compile(r"(?i)(?:^|/)(?:vendor|third_party|third-party|external|extern|deps|node_modules|bower_components)/[^/]+/")
@@ -46,26 +44,46 @@ _RUN = re.compile(r"[A-Za-z0-9+/=_-]{64,}")
 FEATURES = ["compression", "entropy", "distinct_tokens", "ident_length", "short_idents", "ident_share", "comments", "line_length", "longest_line", "log_size", "digits", "blanks", "punctuation", "runs", "literals", "alike", "most_alike", "templates", "config"]
 
 
+def notices(lines: list[str]) -> tuple[list[str], int]:
+    """The comment lines before the first line of code, all of them, and how many lines come before the first that is neither comment nor blank."""
+    said: list[str] = []
+    top, block, code = 0, False, False
+    for i, x in enumerate(lines):
+        bare = x.strip()
+        if block or _COMMENT.match(x):
+            said.append(x)
+            opened = bare.rfind("/*")
+            block = bare.rfind("*/") <= opened if opened >= 0 else block and "*/" not in bare
+            top = top if code else i + 1
+        elif not bare:
+            top = top if code else i + 1
+        elif bare.startswith(("package ", "import ", "using ", "use ", "from ", "#")):
+            code = True
+            if x.startswith("#"):
+                said.append(x)
+        else:
+            break
+    return said, top
+
+
 def says(text: str, path: str | None) -> str:
     """'tool', 'third' or 'hand' by the notice at the top or the file's name; 'owned' if the project claims it; '' if nothing is said."""
-    lines = text.split("\n", HEAD)[:HEAD]
-    first_code = next((i for i, x in enumerate(lines) if x.strip() and not _COMMENT.match(x) and not x.lstrip().startswith(("package ", "import ", "using ", "use "))), HEAD)
-    noted = "\n".join(x[:400] for x in lines[: first_code + 1] if _COMMENT.match(x) or x.startswith("#"))
-    if _HAND.search(noted):
+    lines = text.split("\n")
+    noted = notices(lines)[0]
+    if any(_HAND.search(x) for x in noted):
         return "hand"
-    if any(_THIRD.search(x) for x in noted.split("\n")) or (path and _THIRD_FOLDER.search(path.strip().replace("\\", "/"))):
+    if any(_PROVENANCE.search(x.rstrip("\r")) for x in noted) or (path and _THIRD_FOLDER.search(path.strip().replace("\\", "/"))):
         return "third"
-    if any(_TOOL.search(x) for x in noted.split("\n")) or _BANNER.search(noted[:400]) or (path and _TOOL_NAME.search(path.strip())) or re.search(r"(?m)^\s*@(?:\w+\.)*Generated\b", "\n".join(lines)) or text.rstrip().rfind("//# sourceMappingURL=") > len(text) - 300 >= 0 or '"lockfileVersion"' in text[:300]:
+    last = text.rstrip().rsplit("\n", 1)[-1]
+    if any(_TOOL.search(x) or _BANNER.search(x) for x in noted) or (path and _TOOL_NAME.search(path.strip())) or re.search(r"(?m)^\s*@(?:\w+\.)*Generated\b", text) or "//# sourceMappingURL=" in last or '"lockfileVersion"' in text:
         return "tool"
-    return "owned" if _OWNED.search(noted) else ""
+    return "owned" if any(_OWNED.search(x) for x in noted) else ""
 
 
 def features(text: str, config: bool) -> list[float]:
     """What a file is made of, without the comments at its top and without notices anywhere."""
     lines = text.replace("\r\n", "\n").split("\n")
-    top = 0
-    while top < len(lines) and (not lines[top].strip() or _COMMENT.match(lines[top])) and top < HEAD:
-        top += 1
+    top = notices(lines)[1]
     body = [x for x in lines[top:] if not (len(x) < 200 and (_TOOL.search(x) or "sourceMappingURL" in x or "lockfileVersion" in x or "Generated(" in x))]
     kept = "\n".join(body)
     n = max(1, len(kept))
@@ -79,7 +97,7 @@ def features(text: str, config: bool) -> list[float]:
     some = max(1, len(full))
     wrapped = n / some > 120  # then line ends say nothing, statements do
     parts = [x.strip() for x in (_STATEMENT.split(kept.replace("\n", "")) if wrapped else _PART.split(kept)) if x.strip()]
-    templates = Counter(re.sub(r"\d[\w.]*", "0", _IDENT.sub("a", x[:400]))[:160] for x in parts)
+    templates = Counter(re.sub(r"\d[\w.]*", "0", _IDENT.sub("a", x)) for x in parts)
     many = max(1, len(parts))
     twice = sum(c for c in templates.values() if c > 1)
     literal = sum(len(m) for m in _LITERAL.findall(kept))
@@ -119,11 +137,10 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Files that say a tool made them, and code that is all literals or one line again and again, are the forest's positive examples, files that say the
     opposite or that the project owns them its negative ones; so are those that say nothing, less those that a first forest finds
     more like the positive ones. At most about sample_rows files, drawn by a hash, are examples; features and scores
-    cover all files and whole texts. foreign: a score of at least threshold, or said to be a third party's; files said
-    to be kept by hand are not foreign.
+    cover all files and whole texts. foreign: a score of at least threshold, or said to be a third party's.
 
     Null and blank texts and other kinds give no rows; null paths say nothing. Null ids are left out, repeated rows
-    repeat their result. Without positive or negative examples what files say decides alone. An empty table gives no rows.
+    repeat their result. Without positive or negative examples what files say is their score. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,4 +169,4 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         first = forest.fit(sample).transform(sample).withColumn("score", score)
         sure = cut(first.filter((F.col("y") == 1) | F.col("label").isin("hand", "owned") | (F.col("score") < 0.15)).select("features", "y"))
         scored = forest.fit(sure).transform(ready).withColumn("score", score)
-    return scored.select(id_col, "said", "score", ((F.col("said") == "third") | ((F.col("said") != "hand") & ((F.col("score") >= threshold) | (F.col("said") == "tool")))).alias("foreign"))
+    return scored.select(id_col, "said", "score", ((F.col("said") == "third") | (F.col("score") >= threshold)).alias("foreign"))
