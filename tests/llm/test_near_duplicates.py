@@ -92,3 +92,29 @@ def test_groups_follow_chains(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (6, 7)], "class_a bigint, class_b bigint")
     got = {r.doc_id: (r.group_id, r.links) for r in nd.groups(members, links).collect()}
     assert got == {1: (1, 1), 2: (1, 2), 3: (1, 2), 4: (1, 1), 5: (5, 0), 6: (6, 1), 7: (6, 1), 8: (8, 0), 20: (1, 2)}
+
+
+def test_texts_that_share_a_long_part(spark):
+    """A licence that all texts share fills entries far beyond hot; every similar pair still comes, by the exact join, and no other."""
+    rng = random.Random(8)
+    licence = " ".join(f"legal{i}" for i in range(30))
+    rows = [(i, licence + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(25))) for i in range(3000)]
+    want = set()
+    for i in range(0, 3000, 50):
+        own = rows[i][1].split(" ")
+        own[40] = "edited"
+        rows.append((10_000 + i, " ".join(own)))
+        want.add((i, 10_000 + i))
+    assert pairs(spark, rows, width=4, similarity=0.6, hot=100) == want
+
+
+def test_rare_shingles_find_every_pair(spark):
+    rng = random.Random(9)
+    sets_ = []
+    for g in range(40):
+        base = rng.sample(range(5000), rng.randrange(5, 60)) + list(range(6000, 6020))
+        sets_ += [sorted(set(base)), sorted(set(rng.sample(base, max(3, int(len(base) * rng.uniform(0.5, 1))))) | {7000 + g})]
+    df = spark.createDataFrame(list(enumerate(sets_)), "doc_id bigint, shingles array<int>")
+    got = {tuple(r) for r in nd._rare_pairs(df, "doc_id", 0.6).collect()}
+    like = {(i, j) for i, x in enumerate(sets_) for j, y in enumerate(sets_) if i < j and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.6}
+    assert like <= got
