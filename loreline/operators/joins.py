@@ -50,7 +50,11 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "i
         return rows.join(F.broadcast(lookup), on, how)
     if weights is None:
         rows = weights = cut(rows)
-    heavy = heavy_keys(weights, on, heavy_share=heavy_share)
+    return salted_join(rows, lookup, on, how, heavy_keys(weights, on, heavy_share=heavy_share))
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str, heavy: DataFrame | None) -> DataFrame:
+    """The shuffle join of lookup_join: the keys that heavy_keys gave are spread over their pieces."""
     if heavy is None:
         return rows.join(lookup, on, how)
     few = F.broadcast(heavy)  # at most 1 / heavy_share rows
