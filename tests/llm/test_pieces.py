@@ -63,6 +63,33 @@ def test_forced_cut_at_a_valley():
         assert first[2] == "forced" and abs(first[1] - len(a)) <= 2
 
 
+def test_the_valley_goes_before_the_kind_of_place():
+    """A blank line within a topic is passed over for the line at which the topic changes."""
+    a = [f"apple pear plum fruit juice {i % 3}" for i in range(40)]
+    b = [f"engine wheel brake motor road {i % 3}" for i in range(40)]
+    text = "\n".join([*a[:37], "", *a[37:], *b])
+    first = split(text, len("\n".join(a)) + 500, 0, True)[0]
+    assert text[first[1] :].startswith("engine")
+
+
+def test_symbols_end_at_their_indented_parts():
+    body = "".join(f"    def method_{i}(self):\n        return self.value_{i} + {i}\n" for i in range(20))
+    text = "class A:\n" + body
+    for s, e, c in split(text, 300, 0, False, nested=True)[:-1]:
+        assert text[e:].startswith("    def ") and c == "natural"
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    took = []
+    for n in (200_000, 1_600_000):
+        at = time.perf_counter()
+        split("word " * (n // 5), 8000, 400, False)
+        took.append(time.perf_counter() - at)
+    assert took[1] < 24 * took[0]
+
+
 def test_operator(spark):
     rows = spark.createDataFrame([("a", "a.py", "file", "x = 1\n" * 50, 1), ("a", "a.py", "file", "x = 1\n" * 50, 1), ("b", None, None, "é" * 100, 1), ("c", "c", "file", None, 1), ("d", "d", "file", "", 1), (None, "e", "file", "y" * 500, 1)], "chunk_id string, path string, kind string, text string, piece int")
     got = cut_oversized(rows, limit=100, overlap=10).collect()
