@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,13 +57,13 @@ def subwords(text: str) -> list[str]:
     return [w.lower() for w in _SUBWORD.findall(text)]
 
 
-def at_limit(text: str, limits: set[int]) -> bool:
+def at_limit(text: str, limits: Collection[int]) -> bool:
     """Whether the text is as long as its source allows, up to the rest of a character."""
     size, weight = len(text), len(text.encode("utf-8", "replace"))
     return any(0 <= m - x < 4 and (x == m or x == weight) for m in limits for x in (size, weight))
 
 
-def surely_odd(text: str, n_chars: int | None, limits: set[int]) -> bool:
+def surely_odd(text: str, n_chars: int | None, limits: Collection[int]) -> bool:
     """Whether a text may not serve as an intact one: marked, reported to be longer, or as long as its source allows without a closing mark."""
     reported = n_chars is not None and n_chars > len(text.encode("utf-8", "replace"))
     return bool(_MARK.search(text)) or reported or (at_limit(text, limits) and text.rstrip()[-1:] not in ".?!。`}")
@@ -73,12 +73,12 @@ def _hashed(features: list[str]) -> set[int]:
     return {zlib.crc32(x.encode("utf-8", "replace")) % DIMENSIONS for x in features}
 
 
-def describe(text: str, kind: str, source: str, ending: str, n_chars: int | None, limits: dict[str, set[int]]) -> list[int]:
+def describe(text: str, kind: str, ending: str, n_chars: int | None, limits: Collection[int]) -> list[int]:
     """Hashed features of how a text closes, without what its last word tells."""
-    return sorted(closing(text, kind, source, ending, n_chars, limits)[1])
+    return sorted(closing(text, kind, ending, n_chars, limits)[1])
 
 
-def closing(text: str, kind: str, source: str, ending: str, n_chars: int | None, limits: dict[str, set[int]]) -> tuple[str | None, set[int], set[int], set[int]]:
+def closing(text: str, kind: str, ending: str, n_chars: int | None, limits: Collection[int]) -> tuple[str | None, set[int], set[int], set[int]]:
     """The word a text ends in (null where it ends in none), hashed features of how it closes, those besides if the word is whole, and if it is not."""
     f: list[str] = []
     form = {"source_file": "code", "config_file": "conf", "failure_log": "log"}.get(kind, "prose")
@@ -90,9 +90,8 @@ def closing(text: str, kind: str, source: str, ending: str, n_chars: int | None,
     bare = body.rstrip()
     newline = body[len(bare) :].count("\n")
     blob = len(bare) > 400 and bare.count("\n") * 250 < len(bare)  # minified or data
-    last_line = bare[bare.rfind("\n") + 1 :][-400:]
-    tokens = [t for t in _TOKEN.findall(last_line[-240:])]
-    shapes = [_shape(t) for t in tokens]
+    last_line = bare[bare.rfind("\n") + 1 :]
+    shapes = [_shape(t) for t in _TOKEN.findall(last_line)]
     tight = [s for s in shapes if s != " "]
     end = bare[-1:]
     kind_of_end = end if end and not end.isalnum() else "cjk" if end > "⺀" else "digit" if end.isdigit() else "letter" if end else "none"
@@ -101,7 +100,7 @@ def closing(text: str, kind: str, source: str, ending: str, n_chars: int | None,
         f.append(f"last{n} {form} " + " ".join(tight[-n:]))
     f.append(f"last2nl {form} {newline > 0} " + " ".join(tight[-2:]))
     f.append(f"first2 {form} " + " ".join(tight[:2]) + f" {kind_of_end}")
-    f.append(f"line {form} " + " ".join(tight[:3]) + f" {_bucket(len(tight))} {' '.join(tight[-1:])}")
+    f.append(f"line {form} " + " ".join(tight[:3]) + f" {_bucket(min(len(tight), 64))} {' '.join(tight[-1:])}")
     f.append(f"lines {form} {_bucket(bare.count(chr(10)))} {kind_of_end}")
     f.append(f"size {form} {_bucket(len(bare))} {kind_of_end}")
     if form in ("code", "conf"):
@@ -119,11 +118,11 @@ def closing(text: str, kind: str, source: str, ending: str, n_chars: int | None,
         f.append(f"paren {last_line.count('(') > last_line.count(')')}")
         f.append(f"kind {kind}")
     closed = kind_of_end in ".?!。`}" or kind_of_end == "none"
-    f.append(f"limit {at_limit(text, limits.get(source, set()))} {closed}")
+    f.append(f"limit {at_limit(text, limits)} {closed}")
     word, known, part = None, [], []
     if kind_of_end == "letter":
         word = "".join(subwords(last_line)[-1:])
-        known, part = ([f"word {x}", f"word {form} {x} {newline > 0}", f"word {form} {x} {' '.join(tight[:1])} {_bucket(len(tight))} {shapes[-1] == 'I'}"] for x in (True, False))
+        known, part = ([f"word {x}", f"word {form} {x} {newline > 0}", f"word {form} {x} {' '.join(tight[:1])} {_bucket(min(len(tight), 64))} {shapes[-1] == 'I'}"] for x in (True, False))
     if n_chars is not None and n_chars > len(text.encode("utf-8", "replace")):
         f.append("reported longer")
     if end == "�":
@@ -133,18 +132,18 @@ def closing(text: str, kind: str, source: str, ending: str, n_chars: int | None,
 
 
 def common_words(texts: DataFrame, least_texts: int = 2) -> DataFrame:
-    """(word, known): the words, without regard to case, of at least least_texts rows (text), before their last 80 characters."""
+    """(word, known): the words, without regard to case, of at least least_texts rows (text), their last words left out, which may be parts of words."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = Counter(w for text in batch["text"] for w in set(subwords(text[:-80])))
+            seen = Counter(w for text in batch["text"] for w in set(subwords(text)[:-1]))
             yield pd.DataFrame(list(seen.items()), columns=["word", "n"], dtype=object)
 
     counts = texts.select("text").mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.filter(F.col("n") >= least_texts).select("word", F.lit(True).alias("known"))
 
 
-def cut_once(text: str, rng: np.random.Generator, limits: set[int]) -> str | None:
+def cut_once(text: str, rng: np.random.Generator, limits: Collection[int]) -> str | None:
     """text cut inside a word, sentence or line; null where it is too short for that."""
     if len(text) < 60:
         return None
@@ -159,54 +158,68 @@ def cut_once(text: str, rng: np.random.Generator, limits: set[int]) -> str | Non
     return None
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, decay: float, steps: int) -> np.ndarray:
-    """Weights of a logistic regression by full gradients with adaptive steps; the same rows give the same weights."""
+def _fit(rows: list[np.ndarray], y: np.ndarray, decay: float, steps: int, start: np.ndarray | None = None, still: float = 0.02) -> np.ndarray:
+    """Weights of a logistic regression by full gradients with adaptive steps; the same rows give the same weights.
+
+    It ends when the mean loss of fifty steps falls by less than the part `still` of it, or after `steps`.
+    """
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    w, m, v = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    w, m, v = np.zeros(DIMENSIONS) if start is None else start.copy(), np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+    before = np.inf
     for t in range(1, steps + 1):
-        z = np.bincount(owner, w[flat], len(rows))
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        z = np.clip(np.bincount(owner, w[flat], len(rows)), -30, 30)
+        e = 1 / (1 + np.exp(-z)) - y
         g = np.bincount(flat, e[owner], DIMENSIONS) / len(rows) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        if t % 50 == 0:
+            loss = np.mean(np.logaddexp(0, z) - y * z) + decay / 2 * (w @ w)
+            if before - loss < still * before:
+                break
+            before = loss
     return w
 
 
 def _odd(x: list[np.ndarray], y: np.ndarray, fold: np.ndarray, decay: float, steps: int, rounds: int = 4) -> np.ndarray:
-    """Which texts given as intact look cut to a regression that has not seen them: one fitted on the other half."""
+    """Which texts given as intact look cut to a regression that has not seen them: one fitted on the other half.
+
+    Each round leaves out what the one before found, and its regressions begin where that one's ended.
+    """
     odd = np.zeros(len(x), bool)
+    fitted: dict[int, np.ndarray] = {}
     for _ in range(rounds):
         judged = odd.copy()
         for k in (0, 1):
             seen = (fold != k) & ~odd
             if len(set(y[seen])) < 2:
                 continue
-            w = _fit([f for f, s in zip(x, seen, strict=True) if s], y[seen], decay, steps)
+            fitted[k] = w = _fit([f for f, s in zip(x, seen, strict=True) if s], y[seen], decay, steps, fitted.get(k))
             here = (fold == k) & (y == 0)
             judged[here] = [w[x[i]].sum() > ODD for i in np.flatnonzero(here)]
+        if (judged == odd).all():
+            break
         odd = judged
     return odd
 
 
-def source_limits(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", least_share: float = 0.02, least_rows: int = 8, per_source: int = 6) -> dict[str, set[int]]:
-    """Lengths, in characters or bytes, at which unusually many different texts of a source end, from all rows.
+def source_limits(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", least_share: float = 0.02, least_rows: int = 8) -> DataFrame:
+    """(source, limits): lengths, in characters or bytes, at which unusually many different texts of a source end, from all rows.
 
     A length counts with at least least_rows texts, least_share of its source's, and four times as many as the lengths
-    around it hold on average; at most per_source lengths of a source.
+    around it hold on average; so a source has at most 2 / least_share of them. Sources with fewer texts than
+    least_rows of one length have none that could be told from chance.
     """
     t = F.col(text_col)
     texts = docs.filter(t.isNotNull() & (F.length(t) >= 100)).select(F.coalesce(same_spelling(F.col(source_col)), F.lit("")).alias("source"), F.xxhash64(t).alias("h"), F.array(F.length(t), F.octet_length(t)).alias("m")).dropDuplicates(["source", "h"])
-    lengths = texts.select("source", F.explode(F.array_distinct("m")).alias("size")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    around = lengths.groupBy("source", F.floor(F.col("size") / 200).alias("part")).agg(F.sum("n").alias("near"))
-    of_source = texts.groupBy("source").agg(F.count(F.lit(1)).alias("all"))
-    spikes = lengths.filter(F.col("n") >= least_rows).withColumn("part", F.floor(F.col("size") / 200)).join(around, ["source", "part"]).join(of_source, "source")
+    # all further counts are made from those per length, which are few
+    lengths = cut(texts.select("source", F.posexplode("m").alias("unit", "size"), (F.get("m", F.lit(0)) == F.get("m", F.lit(1))).alias("same")).filter("unit = 0 or not same").groupBy("source", "size", "unit").agg(F.count(F.lit(1)).alias("n")))
+    sizes = lengths.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    around = sizes.groupBy("source", F.floor(F.col("size") / 200).alias("part")).agg(F.sum("n").alias("near"))
+    of_source = lengths.filter("unit = 0").groupBy("source").agg(F.sum("n").alias("all"))
+    spikes = sizes.filter(F.col("n") >= least_rows).withColumn("part", F.floor(F.col("size") / 200)).join(around, ["source", "part"]).join(of_source, "source")
     spikes = spikes.filter((F.col("n") >= least_share * F.col("all")) & (F.col("n") * 200 >= 4 * F.col("near")))
-    top = spikes.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "size"))).filter(F.col("r") <= per_source)
-    out: dict[str, set[int]] = {}
-    for r in top.select("source", "size").collect():
-        out.setdefault(r["source"], set()).add(r["size"])
-    return out
+    return spikes.groupBy("source").agg(F.array_sort(F.collect_list("size")).alias("limits"))
 
 
 def cut_off(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", kind_col: str = "kind", path_col: str = "path", reported_col: str = "n_chars", sample_rows: int = 8000, least_texts: int = 2, threshold: float = 0.6, decay: float = 1e-5, steps: int = 500) -> DataFrame:
@@ -221,12 +234,13 @@ def cut_off(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Null and blank texts are not cut (score 0). Null sources, kinds, paths and reported lengths are values like others. Null ids
     are left out, repeated rows repeat their result. An empty table gives no rows.
     """
-    limits = source_limits(docs, source_col=source_col, text_col=text_col)
+    limits = cut(source_limits(docs, source_col=source_col, text_col=text_col))
     ending = F.coalesce(F.lower(F.regexp_extract(F.col(path_col), r"(\.[A-Za-z]{1,5})$", 1)), F.lit(""))
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(same_spelling(F.col(source_col)), F.lit("")).alias("source"), F.coalesce(F.col(kind_col), F.lit("")).alias("kind"), ending.alias("ending"), F.col(reported_col).cast("long").alias("reported"))
+    rows = lookup_join(rows, limits, ["source"], "left", weights=rows.select("source")).select(*rows.columns, F.coalesce("limits", F.array().cast("array<int>")).alias("limits"))
 
     readable = rows.filter(F.trim("text") != "")
-    total = readable.count()
+    total = docs.count()
     share = min(1.0, sample_rows / max(1, total))
     drawn = readable.withColumn("h", F.xxhash64(F.lit(10), "id", "text")).filter(F.pmod(F.col("h"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
 
@@ -241,19 +255,18 @@ def cut_off(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for _, text, source, kind, end, reported, h in batch.itertuples(index=False, name=None):
+            for _, text, _, kind, end, reported, known, h in batch.itertuples(index=False, name=None):
                 rng = np.random.default_rng(abs(int(h)))
                 n = None if reported is None or reported != reported else int(reported)
-                known = limits.get(source, set())
                 if surely_odd(text, n, known):
                     continue
-                out.append((int(h), 0, *either(text, kind, source, end, n, limits)))
+                out.append((int(h), 0, *either(text, kind, end, n, known)))
                 head = cut_once(text, rng, known)
                 if head is not None:
                     said = len(text) if rng.random() < 0.1 else len(head)
                     if rng.random() < 0.15:
                         head += MARKS[int(rng.integers(len(MARKS)))]
-                    out.append((int(h), 1, *either(head, kind, source, end, said, limits)))
+                    out.append((int(h), 1, *either(head, kind, end, said, known)))
             yield pd.DataFrame(out, columns=["h", "y", "word", "f", "f_part"], dtype=object)
 
     examples = lookup_join(cut(drawn.mapInPandas(featured, "h long, y int, word string, f array<int>, f_part array<int>")), common, ["word"], "left")
@@ -271,11 +284,11 @@ def cut_off(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, text, source, kind, end, reported in batch.itertuples(index=False, name=None):
+            for i, text, source, kind, end, reported, known in batch.itertuples(index=False, name=None):
                 word, z, z_part = None, None, None
                 if text is not None and text.strip():
                     n = None if reported is None or reported != reported else int(reported)
-                    word, *f = either(text, kind, source, end, n, limits)
+                    word, *f = either(text, kind, end, n, known)
                     z, z_part = (None if x is None else float(weights[x].sum()) for x in f)
                 out.append((i, source, word, z, z_part))
             yield pd.DataFrame(out, columns=[id_col, "source", "word", "z", "z_part"], dtype=object)

@@ -10,6 +10,8 @@ from loreline.session import cut
 
 #: Steps into which the ranks of a source are sorted before only the one step in which the selection ends is ordered.
 STEPS = 4096
+#: Sizes to the octave for which chances of inclusion are solved for.
+SIZES = 4
 
 
 def fill(sources: dict[str, tuple[float, float]], goal: float) -> dict[str, float]:
@@ -35,8 +37,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col
     that has to give its tokens w times over gives every record floor(w) times, but no more than max_repeats times; the rest is
     drawn without replacement by Pareto order sampling: records are ranked by the odds of a random number over the
     odds of their inclusion, and taken in that order until their tokens reach what is missing, at most by a part of
-    the last record. A text that stands k times in a source has each of its records included with less chance, by the
-    power of two next below k. Ranks are first sorted into STEPS steps, whose sums tell in which step the
+    the last record. The chance of a record's inclusion is in proportion to its size, up to 1, as long records are what
+    decides how far a share is off; it is solved for from the tokens of each source in SIZES sizes to the octave, a
+    bounded table. Ranks are first sorted into STEPS steps, whose sums tell in which step the
     selection ends; only the records of that one step are put in order, so that no source is sorted in one task.
 
     Sources are compared without case, surrounding blanks and the kind of separator; sources without target, null texts,
@@ -54,9 +57,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col
     if not wanted or not total:
         return spark.createDataFrame([], out)
     known = rows.filter(F.col("_source").isin(list(wanted)) & (F.col("tokens") > 0))
-    copies = known.groupBy("_source", "_text_id").agg(F.count(F.lit(1)).alias("k"))
-    weighed = known.join(copies, ["_source", "_text_id"]).select(id_col, F.col("_source").alias("source"), "_text_id", "tokens", F.floor(F.log2("k")).cast("int").alias("power"))
-    weighed = cut(weighed)
+    weighed = known.select(id_col, F.col("_source").alias("source"), "_text_id", "tokens", F.round(F.log2("tokens") * SIZES).cast("int").alias("power"))
     sums: dict[str, dict[int, int]] = {}
     for r in weighed.groupBy("source", "power").agg(F.sum("tokens").alias("t")).collect():
         sums.setdefault(r["source"], {})[r["power"]] = r["t"]
@@ -68,16 +69,15 @@ def mix(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col
         whole = min(most, int(need // have))
         rest = min(need - whole * have, have) if whole < most else 0.0
         chance, low, high = 1.0, 0.0, 1.0
-        if 0 < rest < have:  # the factor c with sum of min(1, c / 2^power) * tokens = rest
-            high = 2.0 ** (max(by_power) + 1)
+        if 0 < rest < have:  # the factor c with sum of min(1, c * size) * tokens = rest
             for _ in range(100):
                 c = (low + high) / 2
-                low, high = (c, high) if sum(min(1.0, c / 2**p) * t for p, t in by_power.items()) < rest else (low, c)
+                low, high = (c, high) if sum(min(1.0, c * 2 ** (p / SIZES)) * t for p, t in by_power.items()) < rest else (low, c)
             chance = high
         plan.append((source, whole, float(rest), float(chance)))
     plan_df = spark.createDataFrame(plan, "source string, whole int, rest double, chance double")
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("_text_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    p = F.least(F.lit(1.0 - 1e-12), F.col("chance") / F.pow(F.lit(2.0), F.col("power")))
+    p = F.least(F.lit(1.0 - 1e-12), F.col("chance") * F.pow(F.lit(2.0), F.col("power") / SIZES))
     rank = F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p")))
     ranked = weighed.join(F.broadcast(plan_df), "source").withColumn("_u", u).withColumn("_p", p).withColumn("rank", rank)
     ranked = ranked.withColumn("step", F.floor(F.col("rank") / (1 + F.col("rank")) * STEPS).cast("int"))

@@ -51,7 +51,7 @@ def p2_token_totals(spark: SparkSession, folder: str) -> DataFrame:
     newest = table(spark, folder, "repo_manifest").withColumn("_repo", repo).groupBy("_repo").agg(F.max(F.struct("fetched_at", "language")).alias("m"))
     spelled = tokens.same_spelling(F.col("m.language"))
     manifest = newest.select("_repo", F.when(spelled == "js", "javascript").when(spelled == "ts", "typescript").when(spelled == "py", "python").when(spelled == "golang", "go").otherwise(spelled).alias("_repo_language"))
-    joined = lookup_join(counted, manifest, ["_repo"], "left").withColumn("_repo_language", F.coalesce("_repo_language", F.lit("unknown")))
+    joined = lookup_join(counted, manifest, ["_repo"], "left", weights=docs.select("_repo")).withColumn("_repo_language", F.coalesce("_repo_language", F.lit("unknown")))
     names = {"source": "_source", "language": "language", "repo_language": "_repo_language", "domain": "_kind"}
     # partial sums of the four columns first: their combinations are few, whatever the number of documents
     cells = joined.groupBy(*names.values()).agg(F.count("est_tokens").alias("n"), F.sum("est_tokens").alias("t"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loreline.operators.joins import lookup_join
 from loreline.session import cut
 
 #: A vocabulary file: .tiktoken, .json (tokenizers) or .model (sentencepiece).
@@ -67,17 +68,26 @@ def same_spelling(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[\s_-]+", "_"), F.lit(""))
 
 
+# The letters of scripts that tokenizers split in their own ways.
+SCRIPTS = {"han": r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}", "kana": r"\x{3040}-\x{30FF}", "hangul": r"\x{AC00}-\x{D7AF}", "cyrillic": r"\x{0400}-\x{052F}", "greek": r"\x{0370}-\x{03FF}", "hebrew_arabic": r"\x{0590}-\x{06FF}", "indic_thai": r"\x{0900}-\x{0E7F}"}
+
+
+def _letters(script: str):
+    pattern = f"[{SCRIPTS[script]}]"
+    return lambda t: F.when(F.octet_length(t) == F.length(t), 0).otherwise(F.regexp_count(t, F.lit(pattern)))
+
+
 #: What the regression sees of a text, besides a constant. Counts of whole texts, made by built-in functions.
 FEATURES = {
     "bytes": lambda t: F.octet_length(t),
-    "words": lambda t: F.regexp_count(t, F.lit(r"[A-Za-z]+")),
+    "words": lambda t: F.regexp_count(t, F.lit(r"\p{L}+")),
     "digits": lambda t: F.length(t) - F.length(F.translate(t, "0123456789", "")),
     "punctuation": lambda t: F.length(t) - F.length(F.translate(t, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "")),
     "capitals": lambda t: F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
     "blank_runs": lambda t: F.regexp_count(t, F.lit(r"\s{2,}")),
     "humps": lambda t: F.regexp_count(t, F.lit(r"[a-z][A-Z]")),
     "letters_beyond_ascii": lambda t: F.octet_length(t) - F.length(t),
-    "han_kana_hangul": lambda t: F.when(F.octet_length(t) == F.length(t), 0).otherwise(F.regexp_count(t, F.lit(r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]"))),
+    **{s: _letters(s) for s in SCRIPTS},
 }
 
 
@@ -90,13 +100,14 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return np.linalg.solve(a.T @ a + ridge * np.eye(x.shape[1]), a.T @ b) / scale
 
 
-def estimate_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, tokenizer: str = TOKENIZER, sample_rows: int = 600, least_rows: int = 60, languages: int = 200) -> DataFrame:
+def estimate_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, tokenizer: str = TOKENIZER, sample_rows: int = 600, least_rows: int = 60, shared_rows: int = 12_000) -> DataFrame:
     """(id, language, kept columns, est_tokens) of every row, by a regression per language fitted on tokenized samples.
 
-    About 2 * sample_rows texts of each of the most frequent `languages` languages, drawn by a hash of their ids, are
+    About 2 * sample_rows texts of each language, drawn by a hash of their ids, are
     tokenized: one half fits the coefficients, the other half, held out, corrects the bias, the factor being true
-    tokens over predicted ones; then the halves change places, and the two models are averaged. Languages with fewer than least_rows texts in either half, and all beyond the most frequent
-    ones, share the model of all samples. Counting, predicting and correcting cover all rows.
+    tokens over predicted ones; then the halves change places, and the two models are averaged. Every language is fitted in a task of its
+    own, so their number is not bounded. Languages with fewer than least_rows texts in either half
+    share one model, fitted on about shared_rows texts of all samples. Counting, predicting and correcting cover all rows.
 
     Null texts have null tokens, empty ones 0; estimates are not below 0, nor below 1 for a text that is not empty. A null or empty
     lang is 'unknown'. Every row is taken by itself, so repeated ids give repeated rows. An empty table gives no rows.
@@ -104,15 +115,16 @@ def estimate_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lang = F.coalesce(same_spelling(F.col(lang_col)), F.lit("unknown"))
     names = list(FEATURES)
     rows = docs.select(F.col(id_col), lang.alias("language"), *(keep or []), F.col(text_col).alias("_text"))
-    sizes = {r["language"]: r["n"] for r in rows.filter(F.col("_text").isNotNull()).groupBy("language").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "language").limit(languages).collect()}
-    if not sizes:
+    plain = docs.select(lang.alias("language"), F.col(text_col).isNotNull().alias("there"))
+    sizes = cut(plain.filter("there").groupBy("language").agg((2.0 * sample_rows / F.count(F.lit(1))).alias("_share")))
+    if sizes.isEmpty():
         return rows.select(id_col, "language", *(keep or []), F.lit(None).cast("double").alias("est_tokens"))
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, 2 * sample_rows / n)) for k, n in sizes.items()], "language string, _share double")
     draw = (F.pmod(F.xxhash64(F.col(id_col), F.lit(20)), F.lit(1_000_003)) / 1_000_003.0).alias("_draw")
-    drawn = rows.select(id_col, "language", "_text", draw).join(F.broadcast(share), "language").filter((F.col("_draw") < F.col("_share")) & F.col("_text").isNotNull())
+    least = sizes.agg(F.max("_share")).first()[0]  # beyond the greatest share no text is drawn, so most are not joined at all
+    tried = rows.select(id_col, "language", "_text", draw).filter((F.col("_draw") < least) & F.col("_text").isNotNull())
+    drawn = lookup_join(tried, sizes, ["language"], weights=plain.select("language")).filter(F.col("_draw") < F.col("_share"))
     half = F.pmod(F.xxhash64(F.col(id_col), F.lit(21)), F.lit(2)).alias("half")
-    sample = drawn.select("language", half, *[f(F.col("_text")).cast("double").alias(n) for n, f in FEATURES.items()], count_tokens(F.col("_text"), tokenizer).alias("tokens")).toPandas()
-    sample = sample.sort_values(["language", "half", *names, "tokens"])
+    sample = cut(drawn.select("language", half, *[f(F.col("_text")).cast("double").alias(n) for n, f in FEATURES.items()], count_tokens(F.col("_text"), tokenizer).alias("tokens")))
 
     def half_model(fit: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
         w = _fit(np.column_stack([np.ones(len(fit)), fit[names].to_numpy()]), fit["tokens"].to_numpy(float))
@@ -120,19 +132,26 @@ def estimate_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return w * (held["tokens"].sum() / predicted if predicted > 0 else 1.0)
 
     def model(part: pd.DataFrame) -> list[float]:
+        part = part.sort_values(["language", "half", *names, "tokens"])
         a, b = part[part["half"] == 0], part[part["half"] == 1]
         a, b = (a, b) if len(a) and len(b) else (part, part)
         return [float(c) for c in (half_model(a, b) + half_model(b, a)) / 2]
 
-    every = model(sample)
-    own = [(k, model(part)) for k, part in sample.groupby("language") if min((part["half"] == 0).sum(), (part["half"] == 1).sum()) >= least_rows]
-    models = docs.sparkSession.createDataFrame(own or [("", every)], "language string, _w array<double>")
+    def of_language(part: pd.DataFrame) -> pd.DataFrame:
+        enough = min((part["half"] == 0).sum(), (part["half"] == 1).sum()) >= least_rows
+        return pd.DataFrame([(part["language"].iloc[0], model(part))] if enough else [], columns=["language", "_w"], dtype=object)
+
+    n = max(1, sample.count())
+    few = sample.filter(F.pmod(F.xxhash64(*names, "language"), F.lit(1_000_003)) < int(min(1.0, shared_rows / n) * 1_000_003) + 1).toPandas()
+    every = model(few if len(few) else sample.limit(shared_rows).toPandas())
+    models = cut(sample.groupBy("language").applyInPandas(of_language, "language string, _w array<double>"))  # a language's sample is about 2 * sample_rows rows
     w = F.coalesce("_w", F.array(*[F.lit(c) for c in every]))
     total = F.get(w, F.lit(0))
-    for i, n in enumerate(names, 1):
-        total = total + F.get(w, F.lit(i)) * F.col(n)
-    counted = rows.select(id_col, "language", *(keep or []), *[f(F.col("_text")).cast("double").alias(n) for n, f in FEATURES.items()])
-    return counted.join(F.broadcast(models), "language", "left").select(id_col, "language", *(keep or []), F.when(F.col("bytes") == 0, 0.0).when(F.col("bytes") > 0, F.greatest(total, F.lit(1.0))).alias("est_tokens"))
+    for i, name in enumerate(names, 1):
+        total = total + F.get(w, F.lit(i)) * F.col(name)
+    counted = rows.select(id_col, "language", *(keep or []), *[f(F.col("_text")).cast("double").alias(name) for name, f in FEATURES.items()])
+    met = lookup_join(counted, models, ["language"], "left", weights=plain.select("language"))
+    return met.select(id_col, "language", *(keep or []), F.when(F.col("bytes") == 0, 0.0).when(F.col("bytes") > 0, F.greatest(total, F.lit(1.0))).alias("est_tokens"))
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, keep: list[str], tokenizer: str) -> DataFrame:

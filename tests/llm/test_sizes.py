@@ -108,3 +108,28 @@ def test_totals_find_the_language_of_repos_spelled_otherwise(spark, tmp_path):
     spark.sql("select 'own/name.git' as repo, 'Go' as language, timestamp'2024-01-01' as fetched_at").write.parquet(f"{tmp_path}/repo_manifest.parquet")
     got = {r.value: r.documents for r in queries.p2_token_totals(spark, str(tmp_path)).collect() if r.slice == "repo_language"}
     assert got == {"go": 60, "unknown": 20}
+
+
+def test_estimates_hold_for_texts_that_were_not_tokenized(spark):
+    """200 of 3000 texts a language are drawn at most; the others are judged, by document and in total."""
+    d = docs(spark, 3000, seed=11)
+    true = true_sizes(d)
+    got = {r.doc_id: r.est_tokens for r in tokens.estimate_tokens(d, sample_rows=40, least_rows=20, shared_rows=100).collect()}
+    unseen = [i for i in true if true[i] > 20 and i % 2]
+    assert abs(sum(got[i] for i in true) / sum(true.values()) - 1) < 0.02
+    assert sorted(abs(got[i] / true[i] - 1) for i in unseen)[len(unseen) // 2] < 0.1
+
+
+def test_scripts_are_told_apart(spark):
+    texts = {"han": "中文", "kana": "かな", "hangul": "한글", "cyrillic": "слово", "greek": "λόγος", "hebrew_arabic": "שלום", "indic_thai": "हिन", "none": "word"}
+    rows = spark.createDataFrame(list(texts.items()), "s string, t string")
+    for r in rows.select("s", *[f(F.col("t")).alias(n) for n, f in tokens.FEATURES.items()]).collect():
+        assert {n for n in tokens.SCRIPTS if r[n]} == {r.s} - {"none"} and r["words"] == 1 or r.s == "indic_thai"
+
+
+def test_long_records_have_the_greater_chance(spark):
+    d = spark.createDataFrame([(i, "word " * (10 if i % 2 else 40), "a") for i in range(2000)], "doc_id bigint, text string, source string")
+    m = mixing.mix(d, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"), total_share=0.3).collect()
+    long = sum(r.doc_id % 2 == 0 for r in m) / 1000
+    short = sum(r.doc_id % 2 == 1 for r in m) / 1000
+    assert 3 < long / short < 5.5 and abs(sum(r.tokens for r in m) / (0.3 * sum(true_sizes(d).values())) - 1) < 0.002
