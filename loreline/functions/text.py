@@ -68,6 +68,45 @@ def is_ignored_check(name: Column, signal: Column) -> Column:
     return out
 
 
+def is_name_only(name: Column, signal: Column) -> Column:
+    """Whether a check's signal says no more than its name: empty, the name itself, or one short line without a sign of failure."""
+    compact = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    said, named = compact(signal), compact(name)
+    return (said == "") | ((named != "") & (said == named)) | (~F.coalesce(signal, F.lit("")).contains("\n") & (F.length(said) < 120) & ~has_failure_signal(said))
+
+
+def without_fences(body: Column, limit: int = 2200) -> Column:
+    """A review's body without proposed changes: fenced diffs and suggestions, patch lines, added and removed lines; cut at limit and marked.
+
+    Whether a line stands in a removed fence depends on the lines before, so these are folded from first to last.
+    """
+    ls = F.split(F.replace(F.coalesce(body, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n")
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("inside"))
+
+    def step(state: Column, line: Column) -> Column:
+        bare = F.trim(line)
+        opens = bare.startswith("```diff") | bare.startswith("```suggestion")
+        fence = bare.startswith("```")
+        patch = bare.rlike(r"^(?:diff --git|index |--- |\+\+\+ |@@ )") | line.rlike("^[+-]")
+        inside = state["inside"]
+        keep = ~opens & ~inside & (fence | ~patch)
+        return F.struct(F.when(keep, F.concat(state["kept"], F.array(line))).otherwise(state["kept"]).alias("kept"), (opens | (inside & ~fence)).alias("inside"))
+
+    kept = F.array_join(F.aggregate(ls, start, step, lambda s: s["kept"]), "\n")
+    t = F.regexp_replace(kept, r"^\s+|\s+$", "")
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit), r"\s+$", ""), F.lit("\n...[truncated]")))
+
+
+def token_prefix(text: Column, most: int) -> Column:
+    """The text up to its most-th word or number, marked where something follows; empty for most <= 0."""
+    if most <= 0:
+        return F.lit("")
+    token = r"(?:[A-Za-z_][A-Za-z0-9_]*|[0-9]+)"
+    gap = r"(?:[^A-Za-z0-9_]*)"
+    n = F.regexp_count(text, F.lit(token))
+    return F.when(n <= most, text).otherwise(F.concat(F.regexp_extract(text, f"^(?:{gap}{token}){{{most}}}", 0), F.lit("\n[TRUNCATED]")))
+
+
 def without_changes(hunk: Column, most_lines: int = 16) -> Column:
     """A diff hunk without its added and removed lines: at most most_lines lines of 240 characters."""
     lines = F.filter(F.split(F.replace(hunk, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: ~x.rlike("^[+-]"))

@@ -40,6 +40,6 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
 
 def is_format_only(patch: Column) -> Column:
     """Whether the added lines of a patch are its removed ones but for blanks and order, and there are some."""
-    changed = lambda sign: F.array_sort(F.transform(F.filter(F.split(patch, "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3)), lambda x: F.regexp_replace(F.substring(x, 2, 1_000_000), r"\s+", "")))
+    changed = lambda sign: F.array_sort(F.transform(F.filter(F.split(patch, "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3)), lambda x: F.regexp_replace(x.substr(F.lit(2), F.length(x)), r"\s+", "")))
     plus, minus = F.filter(changed("+"), lambda x: x != ""), F.filter(changed("-"), lambda x: x != "")
     return (F.size(plus) + F.size(minus) > 0) & (plus == minus)

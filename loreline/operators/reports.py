@@ -20,14 +20,6 @@ def correlations(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson(x, y).alias("pearson"), pearson("_rx", "_ry").alias("spearman"))
 
 
-def tertiles(rows: DataFrame, metric: str, by: list[str], id_col: str) -> DataFrame:
-    """rows with bucket low, middle or high: cut at n // 3 and 2n // 3, so that the remainder goes high."""
-    order = Window.partitionBy(*by).orderBy(metric, id_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    i = F.row_number().over(order) - 1
-    return rows.withColumn("bucket", F.when(i < F.floor(n / 3), "low").when(i < F.floor(2 * n / 3), "middle").otherwise("high"))
-
-
 def coverage(hits: DataFrame, methods: int) -> DataFrame:
     """(methods_hit, samples) from (sample_id, method, hit), with a row for each number from 0."""
     per = hits.groupBy("sample_id").agg(F.count_if("hit").alias("methods_hit")).groupBy("methods_hit").agg(F.count(F.lit(1)).alias("samples"))

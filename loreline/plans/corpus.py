@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreline.operators import corpus, curation, graph, metrics, mining, rank, reports
+from loreline.operators.analysis import tertiles_at_scale
 from loreline.operators.samples import current_chunks, current_samples
 from loreline.operators.snapshots import snapshot_index
 from loreline.plans.data_quality import SNAPSHOTS_SQL
@@ -42,7 +43,7 @@ def corpus_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 def upsert_prefer_ok(spark: SparkSession, folder: str) -> DataFrame:
     m = table(spark, folder, "corpus_manifest").select("repo", "base_commit", "status", "chunk_count", "generated_at")
-    return corpus.upsert(m.filter("status <> 'ok'"), m.filter("status = 'ok'"), ["repo", "base_commit"], F.col("status") != "ok", "generated_at")
+    return corpus.upsert(m.filter("not status <=> 'ok'"), m.filter("status = 'ok'"), ["repo", "base_commit"], ~F.col("status").eqNullSafe("ok"), "generated_at")
 
 
 def span_to_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,7 +158,7 @@ def pearson_spearman(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tertile_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    b = reports.tertiles(table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_totalprice", ["o_orderpriority"], "o_orderkey")
+    b = tertiles_at_scale(table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_totalprice", ["o_orderpriority"], "o_orderkey")
     return b.groupBy("o_orderpriority", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
@@ -204,7 +205,7 @@ ORACLE = {
     "manifest_counts": f"WITH {_NOW} SELECT repo, base_commit, count(*) FILTER (WHERE kind = 'file') AS files, count(*) FILTER (WHERE kind = 'symbol') AS symbols, count(*) AS chunks FROM cur GROUP BY 1, 2",
     "manifest_merge": "SELECT repo, base_commit, status, base_ref, chunk_count FROM corpus_manifest QUALIFY row_number() OVER (PARTITION BY repo, base_commit ORDER BY (status = 'ok') DESC, generated_at DESC, base_ref DESC, chunk_count DESC) = 1",
     "corpus_bounds": "SELECT repo, base_commit, path, max(end_line) AS last_line FROM chunks GROUP BY 1, 2, 3",
-    "upsert_prefer_ok": "SELECT repo, base_commit, status, chunk_count, generated_at FROM corpus_manifest QUALIFY row_number() OVER (PARTITION BY repo, base_commit ORDER BY (status = 'ok') DESC, generated_at DESC, chunk_count DESC NULLS LAST) = 1",
+    "upsert_prefer_ok": "SELECT repo, base_commit, status, chunk_count, generated_at FROM corpus_manifest QUALIFY row_number() OVER (PARTITION BY repo, base_commit ORDER BY coalesce(status = 'ok', false) DESC, generated_at DESC, chunk_count DESC NULLS LAST) = 1",
     "span_to_blocks": SAMPLES_SQL.replace("{filter}", "true").replace("cand AS", "cand_ AS") + "sp AS (SELECT sample_id, repo, base_commit, s.path AS path, s.start_line AS sl, s.end_line AS el FROM (SELECT *, unnest(gold_spans) AS s FROM every) WHERE s.path <> '' AND s.start_line IS NOT NULL AND s.end_line IS NOT NULL), h AS (SELECT p.sample_id, p.path, p.sl, p.el, c.start_line, c.end_line, c.chunk_id, c.symbol FROM sp p JOIN cur c ON c.repo = p.repo AND c.base_commit = p.base_commit AND c.path = p.path AND c.kind = 'symbol' AND p.sl <= c.end_line AND c.start_line <= p.el) SELECT DISTINCT sample_id, path, start_line, end_line, chunk_id, symbol, 'symbol' AS source FROM h UNION ALL SELECT DISTINCT sample_id, path, sl, el, NULL, NULL, 'span_fallback' FROM sp WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.sample_id = sp.sample_id AND h.path = sp.path AND h.sl = sp.sl AND h.el = sp.el)",
     "file_sizes": "WITH b AS (SELECT max(end_line) AS l FROM chunks GROUP BY repo, base_commit, path) SELECT count(*) AS files, CAST(min(l) AS BIGINT) AS least, CAST(max(l) AS BIGINT) AS most, round(quantile_cont(l, 0.5), 6) AS p50, round(quantile_cont(l, 0.75), 6) AS p75, round(quantile_cont(l, 0.9), 6) AS p90, round(quantile_cont(l, 0.95), 6) AS p95, round(avg((l > 50)::INT), 6) AS over_50, round(avg((l > 200)::INT), 6) AS over_200, round(avg((l > 500)::INT), 6) AS over_500 FROM b WHERE l IS NOT NULL",
     "source_test_edges": f"WITH {_NOW}, f AS (SELECT DISTINCT repo, base_commit, path, CASE WHEN {test_sql()} THEN 'test' WHEN {code_sql()} THEN 'source' END AS role, regexp_replace(regexp_replace(regexp_replace({_STEMMED}, '(_test|tests?|\\.test|\\.spec|_spec)$', ''), '^tests?_', ''), '[^a-z0-9]+', '', 'g') AS stem FROM cur WHERE kind = 'file') SELECT DISTINCT s.repo, s.base_commit, s.path AS src, t.path AS dst FROM f s JOIN f t ON s.repo = t.repo AND s.base_commit = t.base_commit AND s.stem = t.stem WHERE s.role = 'source' AND t.role = 'test' AND length(s.stem) >= 3",
