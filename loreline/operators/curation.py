@@ -28,7 +28,7 @@ def balanced(rows: DataFrame, group: str, per_group: int, seed: str) -> DataFram
 
 def modulo_shards(rows: DataFrame, order: str, shards: int) -> DataFrame:
     """shard of each row by a hash of its key, so that no global order is needed."""
-    return rows.withColumn("shard", F.pmod(F.crc32(F.col(order).cast("binary")), F.lit(shards)))
+    return rows.withColumn("shard", F.conv(F.substring(F.md5(F.col(order).cast("binary")), 1, 8), 16, 10).cast("long") % shards)
 
 
 def weighted_shards(weights: list[tuple[str, int]], shards: int) -> dict[str, int]:

@@ -96,14 +96,36 @@ def symbol_edges(files: DataFrame, chunks: DataFrame, most_files: int = 3000, mo
     return met.withColumn("k", F.row_number().over(file.orderBy("r", "dst"))).filter(F.col("k") <= most_refs).select(*SPACE, F.col("path").alias("src"), "dst")
 
 
-def test_edges(files: DataFrame) -> DataFrame:
-    """(repo, base_commit, src, dst): source files and the tests whose names say they test them, by stem and by folder and stem."""
+#: Sources and tests of one name that are paired, by path; more share no telling name.
+MOST_OF_A_NAME = 20
+
+
+def test_links(files: DataFrame, most: int = MOST_OF_A_NAME) -> DataFrame:
+    """(repo, base_commit, src, dst, n): source files and the tests whose names say they test them, and how many names they share.
+
+    A file's names are its stem without what makes it a test, and that with the folder it stands in. Of a name the first
+    `most` sources and tests by path are paired.
+    """
     p = F.col("path")
     stem = F.lower(F.regexp_replace(basename(p), r"(?<=[^.])\.[^.]*$", ""))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, r"(_test|tests?|\.test|\.spec|_spec)$", ""), "^tests?_", ""), "[^a-z0-9]+", "")
-    rows = files.select(*SPACE, "path", F.when(is_test_path(p), "test").when(is_code_path(p), "source").alias("role"), bare.alias("stem")).filter("role is not null and length(stem) >= 3").distinct()
-    tests = rows.filter("role = 'test'").select(*SPACE, "stem", F.col("path").alias("dst"))
-    return rows.filter("role = 'source'").select(*SPACE, "stem", F.col("path").alias("src")).join(tests, [*SPACE, "stem"]).select(*SPACE, "src", "dst").distinct()
+    for end in ("_test", "test", "tests", ".test", ".spec", "_spec"):
+        stem = F.regexp_replace(stem, end.replace(".", r"\.") + "$", "")
+    for head in ("test_", "tests_"):
+        stem = F.regexp_replace(stem, "^" + head, "")
+    bare = F.regexp_replace(stem, "[^a-z0-9]+", "")
+    module = F.try_element_at(F.filter(F.split(F.lower(F.regexp_extract(p, r"^(.*)/[^/]*$", 1)), "/"), lambda x: (x != "") & ~x.isin(TEST_MARKERS)), F.lit(-1))
+    keys = F.array_compact(F.array(F.col("stem"), F.concat("module", F.lit(":"), "stem")))
+    role = F.when(is_test_path(p), "test").when(is_code_path(p), "source")
+    rows = files.select(*SPACE, "path", role.alias("role"), bare.alias("stem"), module.alias("module")).filter("role is not null and length(stem) >= 3").distinct()
+    keyed = rows.select(*SPACE, "path", "role", F.explode(keys).alias("key"))
+    first = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*SPACE, "key", "role").orderBy("path"))).filter(F.col("_r") <= most)
+    side = lambda r, name: first.filter(F.col("role") == r).select(*SPACE, "key", F.col("path").alias(name))
+    return side("source", "src").join(side("test", "dst"), [*SPACE, "key"]).groupBy(*SPACE, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def test_edges(files: DataFrame) -> DataFrame:
+    """(repo, base_commit, src, dst): source files and the tests that are named after them."""
+    return test_links(files).drop("n")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iterations: int = 24) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreline.functions.paths import basename
+from loreline.functions.paths import basename, is_code_path, is_test_path
 from loreline.functions.text import tokenize
-from loreline.operators.graph import import_links, symbol_edges, test_edges
+from loreline.operators.graph import import_links, symbol_edges, test_links
+
 from loreline.session import cut
 
 SPACE = ["repo", "base_commit"]
@@ -34,25 +35,43 @@ def query_scores(samples: DataFrame, files: DataFrame, chunks: DataFrame) -> Dat
 
 
 def file_graph(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(repo, base_commit, src, dst, weight), both ways: imports 1.5 each time, symbols 1.0, tests 2.0."""
+    """(repo, base_commit, src, dst, weight), both ways: imports 1.5 each time, symbols 1.0, tests 2.0 for each name they share."""
     e = import_links(files).select(*SPACE, "src", "dst", (F.col("n") * 1.5).alias("weight"))
-    e = e.unionByName(symbol_edges(files, chunks).withColumn("weight", F.lit(1.0))).unionByName(test_edges(files).withColumn("weight", F.lit(2.0)))
+    e = e.unionByName(symbol_edges(files, chunks).withColumn("weight", F.lit(1.0))).unionByName(test_links(files).select(*SPACE, "src", "dst", (F.col("n") * 2.0).alias("weight")))
     both = e.unionByName(e.select(*SPACE, F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     return both.groupBy(*SPACE, "src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def affinity(scores: DataFrame, edges: DataFrame, samples: DataFrame) -> DataFrame:
+    """(sample_id, path, affinity) of the files of scores that the task speaks for or against.
+
+    Files that the query mentions get 0.4, their neighbours 1.0 for each. For code2test every test gets 1.0; for comment2context
+    the given files lose 1.0 and their neighbours get 0.8 for each; for trace2code sources get 0.5 and tests lose 0.2. samples has, where they are known, task_type
+    and given_files; scores has (sample_id, repo, base_commit, path, mentioned).
+    """
+    task = samples.select("sample_id", (F.coalesce("task_type", F.lit("")) if "task_type" in samples.columns else F.lit("")).alias("task"))
+    p = F.col("path")
+    at = scores.filter("mentioned").select("sample_id", *SPACE, "path", F.lit(0.4).alias("own"), F.lit(1.0).alias("near"))
+    if {"task_type", "given_files"} <= set(samples.columns):
+        given = samples.filter("task_type = 'comment2context'").select("sample_id", F.explode("given_files").alias("path")).distinct()
+        at = at.unionByName(scores.join(given, ["sample_id", "path"], "left_semi").select("sample_id", *SPACE, "path", F.lit(-1.0).alias("own"), F.lit(0.8).alias("near")))
+    near = at.select("sample_id", *SPACE, F.col("path").alias("src"), "near").join(edges, [*SPACE, "src"]).select("sample_id", F.col("dst").alias("path"), F.col("near").alias("a"))
+    kind = F.when(is_test_path(p), "test").when(is_code_path(p), "source")
+    by_kind = F.when((F.col("task") == "code2test") & (kind == "test"), 1.0).when((F.col("task") == "trace2code") & (kind == "source"), 0.5).when((F.col("task") == "trace2code") & (kind == "test"), -0.2)
+    of_kind = scores.join(task.filter(F.col("task").isin("code2test", "trace2code")), "sample_id").select("sample_id", "path", by_kind.alias("a")).filter("a is not null")
+    return at.select("sample_id", "path", F.col("own").alias("a")).unionByName(near).unionByName(of_kind).groupBy("sample_id", "path").agg(F.sum("a").alias("affinity"))
+
+
 def rank_files(samples: DataFrame, files: DataFrame, chunks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(sample_id, path, score, rank) of the blend 0.65 query, 0.25 personalised PageRank, 0.10 affinity, each over its greatest value of the sample.
 
     All samples walk their snapshots' graphs together: a round is one join on (snapshot, source) and one sum by (sample, file).
-    Affinity is 0.4 for files that the query mentions and 1.0 for their neighbours.
     """
     q = cut(query_scores(samples, files, chunks))
     edges = cut(file_graph(files, chunks))
-    near = q.filter("mentioned").select("sample_id", *SPACE, F.col("path").alias("src")).join(edges, [*SPACE, "src"]).select("sample_id", F.col("dst").alias("path")).distinct().withColumn("near", F.lit(1.0))
-    rows = q.join(near, ["sample_id", "path"], "left").withColumn("affinity", F.when(F.col("mentioned"), 0.4).otherwise(0.0) + F.coalesce("near", F.lit(0.0))).drop("near")
+    rows = q.join(affinity(q, edges, samples), ["sample_id", "path"], "left").withColumn("affinity", F.coalesce("affinity", F.lit(0.0)))
     whole = Window.partitionBy("sample_id")
-    seed = F.greatest(F.lit(0.0), F.col("score")) + F.col("affinity")
+    seed = F.greatest(F.lit(0.0), F.col("score")) + F.greatest(F.lit(0.0), F.col("affinity"))
     total = F.sum(seed).over(whole)
     out = edges.groupBy(*SPACE, F.col("src").alias("path")).agg(F.sum("weight").alias("total"))
     base = F.when(total > 0, seed / total).otherwise(1.0 / F.count(F.lit(1)).over(whole))

@@ -60,14 +60,6 @@ def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("files", "least", "most", *[F.round(c, 6).alias(c) for c in ("p50", "p75", "p90", "p95", "over_50", "over_200", "over_500")])
 
 
-def import_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.import_edges(_files(spark, folder))
-
-
-def source_test_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.test_edges(_files(spark, folder))
-
-
 def _purchases(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Parts and suppliers that trade with each other, both ways, by revenue."""
     e = table(spark, folder, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"), F.col("l_quantity").alias("w"))
@@ -135,7 +127,9 @@ def weighted_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    return curation.conflicts(table(spark, folder, "keep_list"))
+    """Samples that two audits judge differently: the keep list, and one that doubts the samples whose ids end in a digit below 8."""
+    k = table(spark, folder, "keep_list").select("sample_id", "verdict")
+    return curation.conflicts(k.unionByName(k.filter(F.col("sample_id").rlike("[0-7]$")).select("sample_id", F.lit("Ambiguous ").alias("verdict"))))
 
 
 def readiness_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,7 +202,6 @@ ORACLE = {
     "upsert_prefer_ok": "SELECT repo, base_commit, status, chunk_count, generated_at FROM corpus_manifest QUALIFY row_number() OVER (PARTITION BY repo, base_commit ORDER BY coalesce(status = 'ok', false) DESC, generated_at DESC, chunk_count DESC NULLS LAST) = 1",
     "span_to_blocks": SAMPLES_SQL.replace("{filter}", "true").replace("cand AS", "cand_ AS") + "sp AS (SELECT sample_id, repo, base_commit, s.path AS path, s.start_line AS sl, s.end_line AS el FROM (SELECT *, unnest(gold_spans) AS s FROM every) WHERE s.path <> '' AND s.start_line IS NOT NULL AND s.end_line IS NOT NULL), h AS (SELECT p.sample_id, p.path, p.sl, p.el, c.start_line, c.end_line, c.chunk_id, c.symbol FROM sp p JOIN cur c ON c.repo = p.repo AND c.base_commit = p.base_commit AND c.path = p.path AND c.kind = 'symbol' AND p.sl <= c.end_line AND c.start_line <= p.el) SELECT DISTINCT sample_id, path, start_line, end_line, chunk_id, symbol, 'symbol' AS source FROM h UNION ALL SELECT DISTINCT sample_id, path, sl, el, NULL, NULL, 'span_fallback' FROM sp WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.sample_id = sp.sample_id AND h.path = sp.path AND h.sl = sp.sl AND h.el = sp.el)",
     "file_sizes": "WITH b AS (SELECT max(end_line) AS l FROM chunks GROUP BY repo, base_commit, path) SELECT count(*) AS files, CAST(min(l) AS BIGINT) AS least, CAST(max(l) AS BIGINT) AS most, round(quantile_cont(l, 0.5), 6) AS p50, round(quantile_cont(l, 0.75), 6) AS p75, round(quantile_cont(l, 0.9), 6) AS p90, round(quantile_cont(l, 0.95), 6) AS p95, round(avg((l > 50)::INT), 6) AS over_50, round(avg((l > 200)::INT), 6) AS over_200, round(avg((l > 500)::INT), 6) AS over_500 FROM b WHERE l IS NOT NULL",
-    "source_test_edges": f"WITH {_NOW}, f AS (SELECT DISTINCT repo, base_commit, path, CASE WHEN {test_sql()} THEN 'test' WHEN {code_sql()} THEN 'source' END AS role, regexp_replace(regexp_replace(regexp_replace({_STEMMED}, '(_test|tests?|\\.test|\\.spec|_spec)$', ''), '^tests?_', ''), '[^a-z0-9]+', '', 'g') AS stem FROM cur WHERE kind = 'file') SELECT DISTINCT s.repo, s.base_commit, s.path AS src, t.path AS dst FROM f s JOIN f t ON s.repo = t.repo AND s.base_commit = t.base_commit AND s.stem = t.stem WHERE s.role = 'source' AND t.role = 'test' AND length(s.stem) >= 3",
     "pagerank_3": _NODES + "".join(_STEP.format(i, i + 1) for i in range(3)) + " SELECT node, round(rank, 8) AS rank FROM r3",
     "response_window": "WITH e AS (SELECT * FROM events WHERE event_type = 'error'), p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase') SELECT e.event_id, e.user_id, min(p.ts) AS response, count(p.ts) AS responses FROM e LEFT JOIN p ON p.user_id = e.user_id AND p.ts > e.ts AND p.ts <= e.ts + INTERVAL 72 HOURS GROUP BY 1, 2",
     "rerun_pairs": "WITH r AS (SELECT user_id, json_extract_string(props, '$.k') AS k, ts, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase')), f AS (SELECT user_id, k, min(ts) AS failed_at FROM r WHERE NOT ok GROUP BY 1, 2) SELECT f.user_id, f.k, failed_at, min(r.ts) AS passed_at FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k AND r.ok AND r.ts >= failed_at GROUP BY 1, 2, 3",
@@ -216,15 +209,18 @@ ORACLE = {
     "keep_list_join": SAMPLES_SQL.replace("{filter}", "true") + "k AS (SELECT sample_id FROM keep_list WHERE coalesce(lower(trim(verdict)), '') IN ('', 'valid')) SELECT sample_id, task_type, repo FROM every WHERE sample_id IN (SELECT sample_id FROM k)",
     "round_robin": SAMPLES_SQL.replace("{filter}", "true") + "t AS (SELECT sample_id, repo, row_number() OVER (PARTITION BY repo ORDER BY sample_id) AS turn FROM every WHERE repo IS NOT NULL) SELECT * FROM t ORDER BY turn, repo, sample_id LIMIT 50",
     "balanced_sample": SAMPLES_SQL.replace("{filter}", "true") + "t AS (SELECT sample_id, repo, row_number() OVER (PARTITION BY repo ORDER BY sha256('audit' || chr(31) || sample_id), sample_id) AS draw FROM every WHERE repo IS NOT NULL) SELECT * FROM t WHERE draw <= 3",
-    "audit_conflicts": "SELECT sample_id, array_to_string(list_sort(list(DISTINCT lower(trim(verdict)))), ',') AS verdicts FROM keep_list WHERE trim(verdict) <> '' GROUP BY 1 HAVING count(DISTINCT lower(trim(verdict))) > 1",
+    "audit_conflicts": "WITH a AS (SELECT sample_id, lower(trim(verdict)) AS v FROM keep_list WHERE trim(verdict) <> '' UNION ALL SELECT sample_id, 'ambiguous' FROM keep_list WHERE regexp_matches(sample_id, '[0-7]$')) SELECT sample_id, array_to_string(list_sort(list(DISTINCT v)), ',') AS verdicts FROM a GROUP BY 1 HAVING count(DISTINCT v) > 1",
     "readiness_gaps": SAMPLES_SQL.replace("{filter}", "true") + SNAPSHOTS_SQL.strip() + ", k AS (SELECT DISTINCT sample_id FROM keep_list WHERE sample_id IS NOT NULL), j AS (SELECT coalesce(p.counts, false) AS s, len(gold_files) > 0 AS g, length(trim(coalesce(query_text, ''))) > 0 AS q, k.sample_id IS NOT NULL AS a FROM every e LEFT JOIN snapshots p ON p.repo = e.repo AND p.base_commit = e.base_commit LEFT JOIN k ON k.sample_id = e.sample_id) SELECT 'snapshot' AS gate, count(*) FILTER (WHERE NOT s) AS failing FROM j UNION ALL SELECT 'gold', count(*) FILTER (WHERE NOT g) FROM j UNION ALL SELECT 'query', count(*) FILTER (WHERE NOT q) FROM j UNION ALL SELECT 'audited', count(*) FILTER (WHERE NOT a) FROM j",
     "pearson_spearman": _ALL_M + ", x AS (SELECT method, round(ndcg_20, 9) AS x, round(coverage_auc_20, 9) AS y FROM methods), r AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY x) + (count(*) OVER (PARTITION BY method, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY method ORDER BY y) + (count(*) OVER (PARTITION BY method, y) - 1) / 2.0 AS ry FROM x) SELECT method, count(*) AS n, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS pearson, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) AS spearman FROM r GROUP BY 1",
     "tertile_buckets": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderpriority, CASE WHEN i < n // 3 THEN 'low' WHEN i < 2 * n // 3 THEN 'middle' ELSE 'high' END AS bucket, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM r GROUP BY 1, 2",
     "cross_model_coverage": _ALL_M + ", c AS (SELECT sample_id, count(*) FILTER (WHERE recall_20 > 0) AS h FROM methods GROUP BY 1) SELECT b.h AS methods_hit, count(c.h) AS samples FROM (SELECT unnest([0, 1, 2]) AS h) b LEFT JOIN c ON c.h = b.h GROUP BY 1",
     "leaderboard": _ALL_M + ", a AS (SELECT task_type, method, avg(mrr) AS mrr, avg(recall_20) AS recall_20 FROM methods GROUP BY 1, 2) SELECT task_type, method, row_number() OVER (PARTITION BY task_type ORDER BY round(mrr, 9) DESC, round(recall_20, 9) DESC, method) AS place, round(mrr, 6) AS mrr, round(recall_20, 6) AS recall_20 FROM a",
     "metric_spread": _ALL_M + ", a AS (SELECT task_type, method, avg(mrr) AS mrr, avg(recall_20) AS recall_20, avg(ndcg_20) AS ndcg_20 FROM methods GROUP BY 1, 2), u AS (SELECT task_type, 'mrr' AS metric, mrr AS v FROM a UNION ALL SELECT task_type, 'recall_20', recall_20 FROM a UNION ALL SELECT task_type, 'ndcg_20', ndcg_20 FROM a) SELECT task_type, metric, round(max(v), 6) AS best, round(median(v), 6) AS median, round(min(v), 6) AS worst, round(max(v) - median(v), 6) AS lead FROM u GROUP BY 1, 2",
+    "modulo_shards": "SELECT CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 8 AS shard, count(DISTINCT id) AS samples FROM comment2context WHERE id IS NOT NULL GROUP BY 1",
+    "format_only": "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE regexp_matches(text, '(?m)^[+-]')), s AS (SELECT doc_id, list_sort(list_filter(list_transform(list_filter(ls, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')), lambda x: regexp_replace(substr(x, 2), '\\s+', '', 'g')), lambda x: x <> '')) AS p, list_sort(list_filter(list_transform(list_filter(ls, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---')), lambda x: regexp_replace(substr(x, 2), '\\s+', '', 'g')), lambda x: x <> '')) AS m FROM d) SELECT doc_id, len(p) + len(m) > 0 AND p = m AS format_only FROM s",
+    "pagerank_24": _NODES + "".join(_STEP.format(i, i + 1) for i in range(24)) + " SELECT node, round(rank, 8) AS rank FROM r24",
     "stream_dedupe": "SELECT DISTINCT event_id, event_type FROM events",
     "stream_tumbling": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 2) AS value, max(value) AS most FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }
-_ALL = [chunk_lines, symbol_chunks, manifest_counts, manifest_merge, corpus_bounds, upsert_prefer_ok, span_to_blocks, file_sizes, import_edges, source_test_edges, pagerank_3, pagerank_24, response_window, rerun_pairs, drop_reasons, format_only, keep_list_join, round_robin, balanced_sample, modulo_shards, weighted_shards, audit_conflicts, readiness_gaps, pearson_spearman, tertile_buckets, cross_model_coverage, leaderboard, metric_spread, stream_dedupe, stream_tumbling]
+_ALL = [chunk_lines, symbol_chunks, manifest_counts, manifest_merge, corpus_bounds, upsert_prefer_ok, span_to_blocks, file_sizes, pagerank_3, pagerank_24, response_window, rerun_pairs, drop_reasons, format_only, keep_list_join, round_robin, balanced_sample, modulo_shards, weighted_shards, audit_conflicts, readiness_gaps, pearson_spearman, tertile_buckets, cross_model_coverage, leaderboard, metric_spread, stream_dedupe, stream_tumbling]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loreline.functions.text import count_budget_tokens, has_failure_signal
 from loreline.operators import grep, metrics, rank, repomap
 from loreline.operators.corpus import blocks_of_spans
-from loreline.operators.samples import current_chunks, current_samples
+from loreline.operators.samples import current_chunks, current_samples, given_files, latest
 from loreline.plans.retrieval import BUDGET_SQL, BUDGET_TOKENS, METRICS_SQL, SAMPLES_SQL, _base, _ranking, ranking_sql
 from loreline.sources.tables import table
 
@@ -18,11 +18,6 @@ def search_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return grep.patterns(samples).select("sample_id", "term", "kind", "weight")
 
 
-def rank_grep(spark: SparkSession, folder: str) -> DataFrame:
-    r = grep.rank_files(*_base(spark, folder))
-    return r.select("sample_id", "path", F.col("rank").cast("long").alias("rank"), "matched", "hit_chunks", F.round("score", 6).alias("score"))
-
-
 def grep_tool(spark: SparkSession, folder: str) -> DataFrame:
     r = grep.search(current_chunks(table(spark, folder, "chunks")), "cache", 20)
     return r.select("repo", "base_commit", "path", "path_match", "matches", F.col("rank").cast("long").alias("rank"))
@@ -34,6 +29,9 @@ def list_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 def rank_repomap(spark: SparkSession, folder: str) -> DataFrame:
     samples, chunks = _base(spark, folder)
+    raw = table(spark, folder, "comment2context").filter("id is not null")
+    given = latest(raw.select(F.col("id").alias("sample_id"), "version", given_files().alias("given_files")), ["sample_id"], ["version"], ["given_files"])
+    samples = samples.join(given, "sample_id")
     files = chunks.filter("kind = 'file'").select("repo", "base_commit", "path", "text")
     return repomap.rank_files(samples, files, chunks).select("sample_id", "path", "rank", F.round("score", 6).alias("score"))
 
@@ -154,7 +152,6 @@ def _failure_pattern() -> str:
 
 ORACLE = {
     "search_patterns": SAMPLES_SQL.replace("{filter}", "true") + PATTERNS_SQL + "SELECT sample_id, term, kind, CAST(weight AS DOUBLE) AS weight FROM pats",
-    "rank_grep": _GREP + "SELECT sample_id, path, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 9) DESC, matched DESC, round(best, 9) DESC, path) AS rank, matched, hit_chunks, round(score, 6) AS score FROM (SELECT sample_id, path, total + least(2.0, ln(1 + hit_chunks) * 0.25) AS score, matched, best, hit_chunks FROM pp JOIN pc USING (sample_id, path))",
     "grep_tool": "WITH cur AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1), f AS (SELECT repo, base_commit, path, lower(concat_ws(chr(10), path, text)) AS h FROM cur WHERE kind = 'file'), m AS (SELECT repo, base_commit, path, contains(lower(path), 'cache') AS path_match, CAST((length(h) - length(replace(h, 'cache', ''))) // 5 AS BIGINT) AS matches FROM f) SELECT *, row_number() OVER (PARTITION BY repo, base_commit ORDER BY path_match DESC, matches DESC, length(path), path) AS rank FROM m WHERE matches > 0 QUALIFY rank <= 20",
     "list_folder": "SELECT DISTINCT repo, base_commit, string_split(substr(path, 5), '/')[1] AS entry, len(string_split(substr(path, 5), '/')) > 1 AS is_folder FROM chunks WHERE starts_with(path, 'src/')",
     "block_match": ranking_sql("lexical") + BUDGET_SQL + """,
@@ -200,5 +197,5 @@ def _inline_tokens(sql: str) -> str:
 
 
 ORACLE["repomap_query_scores"] = _inline_tokens(ORACLE["repomap_query_scores"])
-_ALL = [search_patterns, rank_grep, grep_tool, list_folder, rank_repomap, repomap_query_scores, block_match, seed_context, failure_excerpts, embedding_digests, hardness, version_changes, clean_split, event_rollup]
+_ALL = [search_patterns, grep_tool, list_folder, rank_repomap, repomap_query_scores, block_match, seed_context, failure_excerpts, embedding_digests, hardness, version_changes, clean_split, event_rollup]
 QUERIES = {f.__name__: f for f in _ALL}

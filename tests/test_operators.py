@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from loreline.functions import paths, text
-from loreline.operators import corpus, curation, graph, metrics, mining, rank, reports, selective, trajectories
+from loreline.operators import analysis, corpus, curation, graph, metrics, mining, rank, reports, selective, trajectories
 from loreline.operators.running import running_totals
 
 
@@ -171,7 +171,7 @@ def test_reports(spark):
     got = {r.g: r for r in reports.correlations(rows, "x", "y", ["g"]).collect()}
     assert got["h"].pearson is None and abs(got["g"].spearman - (-0.2108185)) < 0.2
     for n, want in ((9, (3, 3, 3)), (10, (3, 3, 4)), (11, (3, 4, 4))):
-        b = reports.tertiles(spark.createDataFrame([("g", i, float(i)) for i in range(n)], "g string, i int, m double"), "m", ["g"], "i").groupBy("bucket").count().collect()
+        b = analysis.tertiles_at_scale(spark.createDataFrame([("g", i, float(i)) for i in range(n)], "g string, i int, m double"), "m", ["g"], "i").groupBy("bucket").count().collect()
         d = {r.bucket: r["count"] for r in b}
         assert (d["low"], d["middle"], d["high"]) == want
 
