@@ -29,6 +29,8 @@ _REMARK = re.compile(r"^\s*(?:#(?!\[)|//|/\*|\*|<!--)|\s(?:#|//) \w")
 # What notices say. The first two label examples, the last tells where a copy comes from.
 _HAND = re.compile(r"(?i)(?:maintained|written|edited|kept|tuned) by hand|hand[- ](?:written|maintained)|not (?:a build output|generated)")
 _TOOL = re.compile(r"(?i)\b(?:code )?(?:auto-?)?generated (?:by|from|with)\b|@generated\b|\bautogenerated\b|\bauto-generated\b|\bautomatically (?:generated|created|produced)|created automatically|automatisch erzeugt|\bproduced by \S+ .*from|généré automatiquement|generado automáticamente|do not (?:edit|modify)\b|manual changes will be lost|^\W*source: \S+\.proto")
+# Without any of these in its lower-cased text a file holds nothing that _TOOL finds, nor the other marks of a tool.
+_TELLING = ["generat", "automat", "génér", "produced by", "do not ", "manual changes", "source:", "sourcemappingurl", "lockfileversion"]
 _BANNER = re.compile(r"/\*! ?[\w./@-]+ v?\d+(?:\.\d+)+ ?\|")
 _OWNED = re.compile(r"(?i)SPDX-License-Identifier|copyright .*contributors")
 _PROVENANCE = re.compile(r"(?i)\b(?:vendored|verbatim|unmodified|unchanged)\b.*\b(?:copy|from|of|version)\b|\b(?:imported|copied|included|taken) (?:as[- ]is|verbatim|unchanged|from (?:https?:|git:|upstream))|\bthird[- ]party (?:code|copy|file|library|source)|(?:\(c\)|©) ?\d{4}(?:-\d{4})? the \S+ (?:authors|developers|team)|\bupstream (?:copy|version|source)\b|^\W*[a-z][\w.-]+ v?\d+\.\d+\.\d+\W*$")
@@ -39,6 +41,7 @@ _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _TOKEN = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*|\d[\w.]*|[^\w\s]")
 _LITERAL = re.compile(r"\"\"\".*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\b0x[0-9a-fA-F]+\b|\b\d[\d._eE]*\b|[\s,;:\[\]{}()-]+", re.S)
 _PART, _STATEMENT = re.compile(r"[\n;{}]"), re.compile(r"[;{}]")
+_NUMBER = re.compile(r"\d[\w.]*")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{64,}")
 
 FEATURES = ["compression", "entropy", "distinct_tokens", "ident_length", "short_idents", "ident_share", "comments", "line_length", "longest_line", "log_size", "digits", "blanks", "punctuation", "runs", "literals", "alike", "most_alike", "templates", "config"]
@@ -68,14 +71,13 @@ def notices(lines: list[str]) -> tuple[list[str], int]:
 
 def says(text: str, path: str | None) -> str:
     """'tool', 'third' or 'hand' by the notice at the top or the file's name; 'owned' if the project claims it; '' if nothing is said."""
-    lines = text.split("\n")
-    noted = notices(lines)[0]
+    noted = notices(text.split("\n"))[0]
     if any(_HAND.search(x) for x in noted):
         return "hand"
     if any(_PROVENANCE.search(x.rstrip("\r")) for x in noted) or (path and _THIRD_FOLDER.search(path.strip().replace("\\", "/"))):
         return "third"
     last = text.rstrip().rsplit("\n", 1)[-1]
-    if any(_TOOL.search(x) or _BANNER.search(x) for x in noted) or (path and _TOOL_NAME.search(path.strip())) or re.search(r"(?m)^\s*@(?:\w+\.)*Generated\b", text) or "//# sourceMappingURL=" in last or '"lockfileVersion"' in text:
+    if any(_TOOL.search(x) or _BANNER.search(x) for x in noted) or (path and _TOOL_NAME.search(path.strip())) or ("Generated" in text and re.search(r"(?m)^\s*@(?:\w+\.)*Generated\b", text)) or "//# sourceMappingURL=" in last or '"lockfileVersion"' in text:
         return "tool"
     return "owned" if any(_OWNED.search(x) for x in noted) else ""
 
@@ -84,7 +86,8 @@ def features(text: str, config: bool) -> list[float]:
     """What a file is made of, without the comments at its top and without notices anywhere."""
     lines = text.replace("\r\n", "\n").split("\n")
     top = notices(lines)[1]
-    body = [x for x in lines[top:] if not (len(x) < 200 and (_TOOL.search(x) or "sourceMappingURL" in x or "lockfileVersion" in x or "Generated(" in x))]
+    low = text.lower()
+    body = lines[top:] if not any(w in low for w in _TELLING) else [x for x in lines[top:] if not (len(x) < 200 and (_TOOL.search(x) or "sourceMappingURL" in x or "lockfileVersion" in x or "Generated(" in x))]
     kept = "\n".join(body)
     n = max(1, len(kept))
     raw = kept.encode("utf-8", "replace")
@@ -97,7 +100,8 @@ def features(text: str, config: bool) -> list[float]:
     some = max(1, len(full))
     wrapped = n / some > 120  # then line ends say nothing, statements do
     parts = [x.strip() for x in (_STATEMENT.split(kept.replace("\n", "")) if wrapped else _PART.split(kept)) if x.strip()]
-    templates = Counter(re.sub(r"\d[\w.]*", "0", _IDENT.sub("a", x)) for x in parts)
+    # every part's names and numbers are replaced at once; a part holds no line end
+    templates = Counter(_NUMBER.sub("0", _IDENT.sub("a", "\n".join(parts))).split("\n")) if parts else Counter()
     many = max(1, len(parts))
     twice = sum(c for c in templates.values() if c > 1)
     literal = sum(len(m) for m in _LITERAL.findall(kept))
