@@ -21,10 +21,6 @@ def _with_fixes(spark: SparkSession, folder: str) -> DataFrame:
     return samples.current_samples(t).join(t.groupBy(F.col("id").alias("sample_id")).agg(F.max_by("gold.fix_commit", "version").alias("fix_commit")), "sample_id")
 
 
-def leak_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return analysis.leak_flags(_with_fixes(spark, folder))
-
-
 def leak_splits(spark: SparkSession, folder: str) -> DataFrame:
     s, r = _ranking(spark, folder, "lexical")
     m = metrics.file_metrics(rank.files(r), s)
@@ -158,7 +154,6 @@ cal AS (SELECT h.sample_id, h.sample_id % 3 AS "group", h.events / 10.0 AS predi
 _R = lambda c, o: f"rank() OVER (PARTITION BY o_orderpriority ORDER BY {c} DESC) + (count(*) OVER (PARTITION BY o_orderpriority, {c}) - 1) / 2.0 AS {o}"
 
 ORACLE = {
-    "leak_flags": SAMPLES_SQL.replace("{filter}", "true") + _FLAGS + " SELECT * FROM flags",
     "leak_splits": ranking_sql("lexical") + METRICS_SQL + ", " + _FLAGS + ", w AS (SELECT sample_id, bool_or(fatal) AS fatal FROM flags GROUP BY 1) SELECT CASE WHEN fatal IS NULL THEN 'clean' WHEN fatal THEN 'fatal_flagged' ELSE 'nonfatal_flagged' END AS split, count(*) AS samples, round(avg(recall_20), 6) AS recall_20, round(avg(mrr), 6) AS mrr FROM m LEFT JOIN w USING (sample_id) GROUP BY 1",
     "method_pivot": _ALL_M + " SELECT sample_id, string_agg(method, '|' ORDER BY method) AS methods, max(CASE WHEN method = 'bm25' THEN round(mrr, 6) END) AS bm25_mrr, max(CASE WHEN method = 'lexical' THEN round(mrr, 6) END) AS lexical_mrr FROM methods GROUP BY 1",
     "best_methods": _ALL_M + " SELECT sample_id, method, round(mrr, 6) AS mrr, round(recall_20, 6) AS recall_20 FROM methods QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY round(mrr, 9) DESC, round(recall_20, 9) DESC, method DESC) = 1",
@@ -180,5 +175,5 @@ UNION ALL SELECT DISTINCT m.sample_id, 'given_file_first' FROM methods m JOIN t
     "count_comparison": SAMPLES_SQL.replace("{filter}", "true") + "a AS (SELECT repo, count(*) AS base FROM every GROUP BY 1), b AS (SELECT repo, count(*) AS seed FROM keep_list GROUP BY 1) SELECT repo, coalesce(base, 0) AS base, coalesce(seed, 0) AS seed, coalesce(seed, 0) - coalesce(base, 0) AS delta FROM a FULL JOIN b USING (repo) WHERE repo IS NOT NULL",
     "closed_tool_summary": _STEPS + ", s AS (SELECT sample_id, path, is_final, CASE tool WHEN 'view' THEN 'read' WHEN 'signup' THEN 'search' ELSE tool END AS tool, list_contains(gold_files, path) AS g, len(gold_files) AS n FROM steps JOIN gold USING (sample_id)), p AS (SELECT sample_id, any_value(n) AS n, count(*) AS calls, count(*) FILTER (WHERE tool = 'search') AS searches, count(*) FILTER (WHERE tool = 'read') AS reads, count(DISTINCT path) FILTER (WHERE is_final) AS final_files, bool_or(g) AS any_gold, count(DISTINCT path) FILTER (WHERE is_final AND g) AS found FROM s GROUP BY 1) SELECT sample_id, calls, searches, reads, final_files, any_gold, round(found / n, 6) AS final_recall, round(CASE WHEN final_files > 0 THEN found / final_files ELSE 0 END, 6) AS final_precision FROM p",
 }
-_ALL = [leak_flags, leak_splits, method_pivot, best_methods, error_classes, query_hints, metric_rates, macro_average, weighted_means, layered_leaderboard, task_rank_correlation, delta_decomposition, pes_calibration, pes_summary, agent_retriever_costs, count_comparison, closed_tool_summary]
+_ALL = [leak_splits, method_pivot, best_methods, error_classes, query_hints, metric_rates, macro_average, weighted_means, layered_leaderboard, task_rank_correlation, delta_decomposition, pes_calibration, pes_summary, agent_retriever_costs, count_comparison, closed_tool_summary]
 QUERIES = {f.__name__: f for f in _ALL}

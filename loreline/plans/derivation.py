@@ -26,7 +26,7 @@ def _telling(spark: SparkSession, folder: str) -> DataFrame:
     return s.withColumn("query_text", F.concat(F.coalesce("query_text", F.lit("")), F.lit(" `"), hint, F.lit("`")))
 
 
-def telling_queries(spark: SparkSession, folder: str) -> DataFrame:
+def leak_flags(spark: SparkSession, folder: str) -> DataFrame:
     return analysis.leak_flags(_telling(spark, folder))
 
 
@@ -116,7 +116,7 @@ _ROLES = f"ch AS (SELECT DISTINCT repo, prev_commit, base_commit, path, change,
 _SHARED = f"list_has_any({_TT('p.path')}, {_TT('a.path')})"
 
 ORACLE = {
-    "telling_queries": _TELL + _FLAGS + " SELECT * FROM flags",
+    "leak_flags": _TELL + _FLAGS + " SELECT * FROM flags",
     "redacted_queries": _TELL + _REDACTED + " SELECT sample_id, q AS query_text FROM redd",
     "derived_samples": _TELL + _REDACTED + " SELECT substr(sha256(concat_ws(chr(31), repo, 'comment2context', sample_id)), 1, 24) AS id, 1 AS version, 'comment2context' AS task_type, repo, base_commit, q AS query_text, array_to_string(gold_files, '|') AS gold_files FROM redd WHERE repo IS NOT NULL",
     "rank_grep": _GREP.replace(SAMPLES_SQL.replace("{filter}", "true"), _TELL) + "SELECT sample_id, path, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 9) DESC, matched DESC, round(best, 9) DESC, path) AS rank, matched, hit_chunks, round(score, 6) AS score FROM (SELECT sample_id, path, total + least(2.0, ln(1 + hit_chunks) * 0.25) AS score, matched, best, hit_chunks FROM pp JOIN pc USING (sample_id, path))",
@@ -145,5 +145,5 @@ SELECT s.repo, s.base_commit, s.path AS src, t.path AS dst, count(*) AS n FROM f
 _EXP = f"""UNION ALL SELECT sample_id, repo, base_commit, 5, 1.0, unnest(list_filter({TOKENS.replace('{0}', _Q)}, lambda x: length(x) >= 4 AND NOT list_contains({_STOP}, x))) FROM samples),
 kinds AS ("""
 ORACLE["search_patterns_expanded"] = SAMPLES_SQL.replace("{filter}", "true") + PATTERNS_SQL.replace("),\nkinds AS (", " " + _EXP, 1).replace("WHEN 3 THEN 'flag'", "WHEN 3 THEN 'flag' WHEN 5 THEN 'token'") + "SELECT sample_id, term, kind, CAST(weight AS DOUBLE) AS weight FROM pats"
-_ALL = [telling_queries, redacted_queries, derived_samples, rank_grep, trace_files, related_changes, context_candidates, import_edges, source_test_edges, search_patterns_expanded]
+_ALL = [leak_flags, redacted_queries, derived_samples, rank_grep, trace_files, related_changes, context_candidates, import_edges, source_test_edges, search_patterns_expanded]
 QUERIES = {f.__name__: f for f in _ALL}
