@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -135,6 +135,11 @@ def is_data(f: list[float], config: bool) -> bool:
     return not config and x["comments"] < 0.02 and x["log_size"] > 6 and (x["literals"] > 0.93 or x["most_alike"] > 0.75)
 
 
+def fitted(forest: RandomForestClassifier, rows: DataFrame) -> RandomForestClassificationModel:
+    """The fitted forest without its training summary: that holds the session, which cannot be sent to executors once a query has been observed in it."""
+    return forest.fit(rows).copy()
+
+
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", kind_col: str = "kind", kinds: tuple[str, ...] = ("source_file", "config_file"), config_kind: str = "config_file", sample_rows: int = 12_000, trees: int = 30, depth: int = 9, threshold: float = 0.5, seed: int = 5) -> DataFrame:
     """(id, said, score, foreign): what a file says of itself, the forest's score, and whether it is not hand-written here.
 
@@ -170,7 +175,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         scored = seen.withColumn("score", F.col("label").isin("tool", "data").cast("double"))
     else:
         score = vector_to_array("probability")[1]
-        first = forest.fit(sample).transform(sample).withColumn("score", score)
+        first = fitted(forest, sample).transform(sample).withColumn("score", score)
         sure = cut(first.filter((F.col("y") == 1) | F.col("label").isin("hand", "owned") | (F.col("score") < 0.15)).select("features", "y"))
-        scored = forest.fit(sure).transform(ready).withColumn("score", score)
+        scored = fitted(forest, sure).transform(ready).withColumn("score", score)
     return scored.select(id_col, "said", "score", ((F.col("said") == "third") | (F.col("score") >= threshold)).alias("foreign"))

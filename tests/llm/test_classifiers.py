@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from loreline.llm import cutoff, not_handwritten
 
@@ -109,3 +111,14 @@ def test_classify(spark):
     got = {r.doc_id for r in not_handwritten.classify(docs.withColumn("said", docs.path)).filter("foreign").collect()}
     assert got == foreign | {903}
     assert not_handwritten.classify(docs.limit(0)).count() == 0
+
+
+def test_classify_after_an_observed_query(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}  # the session now holds its observations, which cannot be serialized
+    tool = [(i, "// Code generated by x. DO NOT EDIT.\n" + "".join(f"  put({i * j}, 0x{j:02x});\n" for j in range(40)), f"a{i}.go", "source_file") for i in range(30)]
+    hand = [(100 + i, "# written by hand\n" + "".join(f"def {w}_{i}(row):\n    # keeps the {w} of a row\n    return row.{w} or default_{w}\n\n" for w in SENTENCES[i % 5][:-1].split()), f"a{i}.py", "source_file") for i in range(30)]
+    docs = spark.createDataFrame(tool + hand, "doc_id bigint, text string, path string, kind string")
+    rows = not_handwritten.classify(docs).collect()
+    assert len(rows) == 60 and {r.doc_id for r in rows if r.foreign} == set(range(30))
